@@ -44,7 +44,7 @@ _STAGE = re.compile(
 )
 _DECOR = re.compile(
     r"^\s*(?:>>+|[-–—*•]+|#\s*\d+|CH(?:ANNEL)?\.?\s*\d+\s*:|SPEAKER\s*\d+\s*[-–:]|[\[(]?\d{1,2}[:.h]\d{2}(?:[:.]\d{2})?[\])]?)\s*"
-    r"|\s*(?:[\[(]\d{1,2}[:.h]\d{2}(?:[:.]\d{2})?[\])]|\(\s*cont[^()]*\)|\(\s*(?:mic|microphone|via|by|on|remote|online|off)\b[^()]*\)|\[[^\[\]]*\]|//+|:+|\.\.\.+|…)\s*$",
+    r"|\s*(?:[\[(]\d{1,2}[:.h]\d{2}(?:[:.]\d{2})?[\])]|\(\s*cont[^()]*\)|\(\s*(?:mic|microphone|via|by|on|remote|online|off)\b[^()]*\)|\[[^\[\]]*\]|//+|:+|\.\.\.|…)\s*$",
     re.IGNORECASE,
 )
 _BARE_MARK = re.compile(r"[0-9<>#\[\]{}/:|*@_=~…]|\.\.\.|^\s*[-–—]")
