@@ -21,9 +21,9 @@ _FILLER = re.compile(rf"(?P<lead>[(–—-]\s*)?(?<![\w'’/-])(?:{_VOICED})(?![
 SOUND_WORDS = frozenset(
     "applause laughter laughs laugh laughing inaudible indistinct unclear coughs cough coughing noise crosstalk microphone mic phone ringing rings bell bells"
     " clears throat banging desks rires rire bruit applaudissements toux murmurs murmur cheers cheering music sighs sigh whispers silence pause interruptions"
-    " interruption inaudibles brouhaha exclamations overlapping static beep thumping shouting boos booing sneezes gavel knocking door telephone siren feedback riye taptap tapaz".split()
+    " interruption inaudibles brouhaha exclamations overlapping static beep thumping shouting boos booing sneezes gavel knocking door telephone slams slam closes chair scraping chairs footsteps gasps groans hubbub uproar background siren feedback riye taptap tapaz".split()
 )
-_BRACKET = re.compile(r"\(([^()\[\]]{1,60})\)|\[([^\[\]]{1,60})\]|\*([^*\n]{2,40})\*|<([^<>]{2,40})>|\{([^{}]{2,40})\}|♪\s*([^♪]{0,60}?)\s*♪|♪")
+_BRACKET = re.compile(r"\(([^()\[\]]{1,60})\)|\[([^\[\]]{1,60})\]|\*([^*\n]{2,40})\*|<([^<>]{2,40})>|\{([^{}]{2,40})\}|♪\s*([^♪]{0,60}?)\s*♪|♪|(?<![\w/])/([^/\n]{3,40})/(?![\w/])")
 _TITLE = r"(?:Mr|Mrs|Ms|Dr|Mme|Mlle|Miss|Madam|M|Hon|Sir|Prof)"
 _LABEL = (
     rf"(?:{_TITLE}\.?(?:\s+(?:the\s+)?(?:Hon\.?\s+)?)?[A-ZÀ-Þ][^:.!?\n“”\"]{{0,40}}(?:\.\s?[^:.!?\n“”\"]{{1,40}})?"
