@@ -1,11 +1,14 @@
-"""Queries of the operators over the test tables, with the SQL they are compared with."""
+"""All queries of the operators over the test tables, with the SQL they are compared with."""
 
 from __future__ import annotations
 
+from hemispark.plans import basic, linking, modelling  # noqa: F401 - they register their queries
+from hemispark.plans.base import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
