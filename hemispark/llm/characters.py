@@ -15,6 +15,7 @@ Typographic quotes, dashes, currency signs and line breaks are never touched. NU
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
@@ -118,8 +119,8 @@ def trigger() -> str:
 
 
 @lru_cache(1)
-def _trigger_py() -> regex.Pattern:
-    return regex.compile("[" + regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", _ranges()) + "]")
+def _trigger_py() -> re.Pattern:
+    return re.compile("[" + regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", _ranges()) + "]")
 
 
 def _word(word: str) -> str:

@@ -43,6 +43,9 @@ _LEET = str.maketrans("013457@$", "oleastas")
 _LEET_I = str.maketrans("013457@$", "oieastas")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 _PLAIN = re.compile(r"[a-z0-9']+")
+_SINGLES = re.compile(r"(?<![a-z0-9'])[a-z] [a-z] [a-z] [a-z](?![a-z0-9'])")
+_TRIPLES = tuple(3 * chr(c) for c in range(ord("a"), ord("z") + 1))
+_LETTERS = re.compile(r"[^0-9']*")
 
 
 def passages(text: str | None) -> list[str]:
@@ -55,19 +58,25 @@ def passages(text: str | None) -> list[str]:
     return out
 
 
-def tokens(passage: str) -> list[str]:
-    """Words without case, accents and disguise: spaced-out letters are joined, signs for letters and long repeats undone."""
+def tokens(passage: str, repeats: bool = True) -> list[str]:
+    """Words without case, accents and disguise: spaced-out letters are joined, signs for letters and long repeats undone.
+
+    ``repeats=False`` is for passages known to have no letter three times in a row.
+    """
     low = passage.lower()
-    if _SPACED.search(low):
-        low = _SPACED.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), low)
     if not low.isascii():
         low = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
-    if _REPEAT.search(low):
+    words = _PLAIN.findall(low)
+    if _SINGLES.search(" ".join(words)) and _SPACED.search(low):
+        low = _SPACED.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), low)
+        words = _PLAIN.findall(low)
+    if repeats and _REPEAT.search(low):
         low = _REPEAT.sub(r"\1", low)
-    if low.isascii() and not any(c in low for c in "*@$"):
         words = _PLAIN.findall(low)
-    else:
+    if "*" in low or "@" in low or "$" in low or not low.isascii():
         words = _TOKEN.findall(low)
+    elif _LETTERS.fullmatch(low):
+        return words
     out = []
     for w in words:
         if w.isalpha():
@@ -90,43 +99,74 @@ def features(words: list[str]) -> dict[str, float]:
     return {k: 1 + math.log(n) if n > 1 else 1.0 for k, n in counts.items()}
 
 
+def has_repeats(low: str) -> bool:
+    """Whether a letter stands three times in a row."""
+    return any(c in low for c in _TRIPLES) if low.isascii() else bool(_REPEAT.search(low))
+
+
 class BlockIndex:
     """Inverted index in blocks with exact cosine; abusive examples fill the first blocks."""
 
-    def __init__(self, examples: list[tuple[dict[str, float], float]], weight: np.ndarray | None = None):
-        order = sorted(range(len(examples)), key=lambda i: (-(examples[i][1] >= 0.5), sorted(examples[i][0])[:6], i))
-        self.order = order
+    def __init__(self, examples: list[tuple[dict[str, float], float]]):
+        count = len(examples)
+        self.order = order = sorted(range(count), key=lambda i: (-(examples[i][1] >= 0.5), sorted(examples[i][0])[:6], i))
         self.labels = np.array([examples[i][1] for i in order], dtype=np.float32)
-        frequency = Counter(f for i in order for f in examples[i][0])
-        self.idf = {f: math.log((1 + len(order)) / (0.5 + n)) for f, n in frequency.items()}
-        self.unseen = math.log((1 + len(order)) / 0.5)
-        postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for at, i in enumerate(order):
-            vector = {f: v * self.idf[f] for f, v in examples[i][0].items()}
-            norm = math.sqrt(sum(v * v for v in vector.values())) or 1.0
-            for f, v in vector.items():
-                postings[f].append((at, v / norm))
-        self.ids = {f: np.array([a for a, _ in p], dtype=np.int32) for f, p in postings.items()}
-        self.weights = {f: np.array([w for _, w in p], dtype=np.float32) for f, p in postings.items()}
         self.abusive = int((self.labels >= 0.5).sum())
-        self.blocks = -(-len(order) // BLOCK)
-        self.first = -(-self.abusive // BLOCK)  # blocks with abusive examples
-        self.top_abusive: dict[str, float] = {}
-        self.block_ids: dict[str, np.ndarray] = {}
-        self.block_top: dict[str, np.ndarray] = {}
-        for f, ids in self.ids.items():
-            w = self.weights[f]
-            heads = np.flatnonzero(np.diff(ids // BLOCK, prepend=-1))
-            self.block_ids[f] = (ids[heads] // BLOCK).astype(np.int32)
-            self.block_top[f] = np.maximum.reduceat(w, heads)
-            if ids[0] < self.abusive:
-                self.top_abusive[f] = float(w[ids < self.abusive].max())
+        self.blocks, self.first = -(-count // BLOCK), -(-self.abusive // BLOCK)  # all, and those with abusive examples
+        number: dict[str, int] = {}
+        feature = np.array([number.setdefault(f, len(number)) for i in order for f in examples[i][0]], dtype=np.int64)
+        value = np.array([v for i in order for v in examples[i][0].values()])
+        row = np.repeat(np.arange(count), [len(examples[i][0]) for i in order])
+        idf = np.log((1 + count) / (0.5 + np.bincount(feature, minlength=len(number))))
+        self.unseen = math.log((1 + count) / 0.5)
+        weight = value * idf[feature]
+        norm = np.sqrt(np.bincount(row, weight * weight, minlength=count))
+        weight = (weight / np.where(norm > 0, norm, 1)[row]).astype(np.float32)
+        by = np.lexsort((row, feature))
+        feature, row, weight = feature[by], row[by].astype(np.int32), weight[by]
+        self.rows, self.weights = row, weight
+        at = np.searchsorted(feature, np.arange(len(number) + 1))
+        mine = np.searchsorted(feature * (count + 1) + row, np.arange(len(number)) * (count + 1) + self.abusive)
+        block = row // BLOCK
+        heads = np.flatnonzero((np.diff(feature, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        self.block_of, self.block_top = block[heads], np.maximum.reduceat(weight, heads) if len(heads) else weight
+        head_at = np.searchsorted(heads, at)
+        head_mine = np.searchsorted(feature[heads] * (self.blocks + 1) + self.block_of, np.arange(len(number)) * (self.blocks + 1) + self.first)
+        #: of each feature: idf, range of its postings, range of its blocks
+        self.idf = {f: float(idf[k]) for f, k in number.items()}
+        self.spans = {f: (int(at[k]), int(at[k + 1]), int(head_at[k]), int(head_at[k + 1])) for f, k in number.items()}
+        #: of each feature of abusive examples: ends of their postings and blocks, and their largest weight
+        near = np.flatnonzero(mine > at[:-1])
+        names = list(number)
+        self.top_abusive = {names[k]: float(weight[at[k] : mine[k]].max()) for k in near}
+        self.abusive_spans = {names[k]: (int(at[k]), int(mine[k]), int(head_at[k]), int(head_mine[k])) for k in near}
+        #: squared idf of each word, and its most to the product with an abusive example; words that begin such a pair
+        self.word = {f: (v * v, v * self.top_abusive.get(f, 0.0)) for f, v in self.idf.items() if " " not in f}
+        self.pair = {f: self.idf[f] * v for f, v in self.top_abusive.items() if " " in f}
+        self.heads = frozenset(f.split(" ")[0] for f in self.pair)
 
     def query(self, counts: dict[str, float]) -> tuple[list[tuple[str, float]], float]:
         vector = [(f, v * self.idf.get(f, self.unseen)) for f, v in counts.items()]
         norm = math.sqrt(sum(v * v for _, v in vector)) or 1.0
         return vector, norm
 
+    def far(self, words: list[str]) -> bool:
+        """Whether no abusive example can be as near as FLOOR, told from a bound on the product and one on the norm.
+
+        Repeated words count more for the product and less for the norm than they do, so the answer yes is always right.
+        """
+        product = norm = 0.0
+        rare = (self.unseen**2, 0.0)
+        word, heads, before = self.word, self.heads, ""
+        for w in words:
+            square, top = word.get(w, rare)
+            norm += square
+            product += top
+            if before in heads:
+                product += self.pair.get(before + " " + w, 0.0)
+            before = w
+        return product * product < (FLOOR - 1e-6) ** 2 * norm
+
     def bound(self, vector: list[tuple[str, float]], norm: float) -> float:
         """No abusive example is nearer than this."""
         top = self.top_abusive
@@ -134,30 +174,27 @@ class BlockIndex:
 
     def near_abusive(self, vector: list[tuple[str, float]], norm: float) -> bool:
         """Whether an abusive example has a cosine of FLOOR or more, exactly."""
-        known = [(f, v / norm) for f, v in vector if f in self.top_abusive]
+        known = [(*self.abusive_spans[f], v / norm) for f, v in vector if f in self.abusive_spans]
         bounds = np.zeros(self.first)
-        for f, v in known:
-            ids = self.block_ids[f]
-            n = int(np.searchsorted(ids, self.first))
-            bounds[ids[:n]] += v * self.block_top[f][:n]
+        for _, _, a, b, v in known:
+            bounds[self.block_of[a:b]] += v * self.block_top[a:b]
         if bounds.max(initial=0) < FLOOR - 1e-6:
             return False
         dots = np.zeros(self.abusive)
-        for f, v in known:
-            n = int(np.searchsorted(self.ids[f], self.abusive))
-            dots[self.ids[f][:n]] += v * self.weights[f][:n]
+        for a, b, _, _, v in known:
+            dots[self.rows[a:b]] += v * self.weights[a:b]
         return bool(dots.max(initial=0) >= FLOOR)
 
     def nearest(self, vector: list[tuple[str, float]], norm: float, skip: frozenset[int] | set[int] = frozenset(), k: int = NEAREST) -> list[tuple[int, float]]:
         """The k nearest examples with a cosine of FLOOR or more, exactly; ties by number. ``skip`` are left out."""
-        known = [(f, v / norm) for f, v in vector if f in self.ids]
+        known = [(*self.spans[f], v / norm) for f, v in vector if f in self.spans]
         bounds = np.zeros(self.blocks)
-        for f, v in known:
-            bounds[self.block_ids[f]] += v * self.block_top[f]
+        for _, _, a, b, v in known:
+            bounds[self.block_of[a:b]] += v * self.block_top[a:b]
         if int((bounds >= FLOOR).sum()) > WIDE:  # the bounds tell little: all postings at once
             dots = np.zeros(len(self.labels))
-            for f, v in known:
-                dots[self.ids[f]] += v * self.weights[f]
+            for a, b, _, _, v in known:
+                dots[self.rows[a:b]] += v * self.weights[a:b]
             if skip:
                 dots[list(skip)] = 0
             hits = np.flatnonzero(dots >= FLOOR)
@@ -171,11 +208,10 @@ class BlockIndex:
                 break
             low, high = block * BLOCK, min((block + 1) * BLOCK, len(self.labels))
             dots = np.zeros(high - low)
-            for f, v in known:
-                ids = self.ids[f]
-                a, b = np.searchsorted(ids, (low, high))
+            for start, end, _, _, v in known:
+                a, b = start + np.searchsorted(self.rows[start:end], (low, high))
                 if a < b:
-                    dots[ids[a:b] - low] += v * self.weights[f][a:b]
+                    dots[self.rows[a:b] - low] += v * self.weights[a:b]
             for i in np.flatnonzero(dots >= least):
                 if low + int(i) not in skip:
                     best.append((-float(dots[i]), low + int(i)))
@@ -241,11 +277,14 @@ class ExampleModel:
         self.threshold = good[len(good) // 2]
         self.rated = max(rated)
 
-    def score_passage(self, passage: str, skip: frozenset[int] | set[int] = frozenset()) -> tuple[float, list[tuple[int, float]]]:
+    def score_passage(self, passage: str, skip: frozenset[int] | set[int] = frozenset(), repeats: bool = True) -> tuple[float, list[tuple[int, float]]]:
         index = self.index
         if index is None:
             return 0.0, []
-        vector, norm = index.query(features(tokens(passage)))
+        words = tokens(passage, repeats)
+        if index.far(words):
+            return 0.0, []
+        vector, norm = index.query(features(words))
         if index.bound(vector, norm) < FLOOR or not index.near_abusive(vector, norm):
             return 0.0, []  # no abusive example is near enough to vote
         near = index.nearest(vector, norm, skip)
@@ -255,12 +294,13 @@ class ExampleModel:
         """Score of a document and its worst passage (None if nothing votes for abuse)."""
         worst: tuple[float, str | None] = (0.0, None)
         known = self._known
+        repeats = has_repeats((text or "").lower())
         for p in passages(text):
             s = known.get(p)
             if s is None:
                 if len(known) >= MEMORY:
                     known.clear()
-                s = known[p] = self.score_passage(p)[0]
+                s = known[p] = self.score_passage(p, repeats=repeats)[0]
             if s > worst[0]:
                 worst = (s, p)
         return worst
