@@ -27,12 +27,15 @@ from hemispark.llm.characters import normalize_text
 #: Labelled documents that are used at most, chosen by a hash of their ids, abusive ones in their natural share.
 EXAMPLES = 3000
 NEAREST, FLOOR, POWER, BLOCK = 12, 0.4, 3.0, 32
-#: With more blocks than this above the floor all postings are read at once, with the same result.
-WIDE = 8
+#: With more postings to read than this the blocks' bounds are asked first.
+DENSE = 2000
 #: Votes are shrunk as if harmless examples of this weight stood beside them, so that lone, distant neighbours count little.
 PRIOR = 0.1
 #: Documents that the vote of other passages counts for, beside the further documents with the same passage.
 OTHERS = 4
+_NEAR = FLOOR * FLOOR - 1e-6
+#: A passage of an abusive document stays an example of abuse if other documents agree to this share.
+AGREED = 0.65
 #: Passages whose score a worker remembers; the store is emptied when full.
 MEMORY = 200_000
 _SPLIT = re.compile(r"(?<=[.!?…])[”\"»')\]]*\s+|\s*\n\s*")
@@ -44,7 +47,6 @@ _LEET_I = str.maketrans("013457@$", "oieastas")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 _PLAIN = re.compile(r"[a-z0-9']+")
 _SINGLES = re.compile(r"(?<![a-z0-9'])[a-z] [a-z] [a-z] [a-z](?![a-z0-9'])")
-_TRIPLES = tuple(3 * chr(c) for c in range(ord("a"), ord("z") + 1))
 _LETTERS = re.compile(r"[^0-9']*")
 
 
@@ -101,7 +103,10 @@ def features(words: list[str]) -> dict[str, float]:
 
 def has_repeats(low: str) -> bool:
     """Whether a letter stands three times in a row."""
-    return any(c in low for c in _TRIPLES) if low.isascii() else bool(_REPEAT.search(low))
+    if not low.isascii():
+        return bool(_REPEAT.search(low))
+    b = np.frombuffer(low.encode(), dtype=np.uint8)
+    return bool(((b[2:] == b[1:-1]) & (b[1:-1] == b[:-2]) & (b[2:] >= 97) & (b[2:] <= 122)).any())
 
 
 class BlockIndex:
@@ -112,7 +117,7 @@ class BlockIndex:
         self.order = order = sorted(range(count), key=lambda i: (-(examples[i][1] >= 0.5), sorted(examples[i][0])[:6], i))
         self.labels = np.array([examples[i][1] for i in order], dtype=np.float32)
         self.abusive = int((self.labels >= 0.5).sum())
-        self.blocks, self.first = -(-count // BLOCK), -(-self.abusive // BLOCK)  # all, and those with abusive examples
+        self.blocks, self.abusive_blocks = -(-count // BLOCK), -(-self.abusive // BLOCK)  # all, and those with abusive examples
         number: dict[str, int] = {}
         feature = np.array([number.setdefault(f, len(number)) for i in order for f in examples[i][0]], dtype=np.int64)
         value = np.array([v for i in order for v in examples[i][0].values()])
@@ -131,15 +136,17 @@ class BlockIndex:
         heads = np.flatnonzero((np.diff(feature, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
         self.block_of, self.block_top = block[heads], np.maximum.reduceat(weight, heads) if len(heads) else weight
         head_at = np.searchsorted(heads, at)
-        head_mine = np.searchsorted(feature[heads] * (self.blocks + 1) + self.block_of, np.arange(len(number)) * (self.blocks + 1) + self.first)
-        #: of each feature: idf, range of its postings, range of its blocks
+        head_mine = np.searchsorted(feature[heads] * (self.blocks + 1) + self.block_of, np.arange(len(number)) * (self.blocks + 1) + self.abusive_blocks)
+        #: of each feature: idf, range of its postings, range of its blocks, largest weight
         self.idf = {f: float(idf[k]) for f, k in number.items()}
-        self.spans = {f: (int(at[k]), int(at[k + 1]), int(head_at[k]), int(head_at[k + 1])) for f, k in number.items()}
+        most = np.maximum.reduceat(weight, at[:-1]) if len(number) else weight
+        self.spans = {f: (int(at[k]), int(at[k + 1]), int(head_at[k]), int(head_at[k + 1]), float(most[k])) for f, k in number.items()}
         #: of each feature of abusive examples: ends of their postings and blocks, and their largest weight
         near = np.flatnonzero(mine > at[:-1])
         names = list(number)
         self.top_abusive = {names[k]: float(weight[at[k] : mine[k]].max()) for k in near}
         self.abusive_spans = {names[k]: (int(at[k]), int(mine[k]), int(head_at[k]), int(head_mine[k])) for k in near}
+        self.top_square = {f: v * v for f, v in self.top_abusive.items()}
         #: squared idf of each word, and its most to the product with an abusive example; words that begin such a pair
         self.word = {f: (v * v, v * self.top_abusive.get(f, 0.0)) for f, v in self.idf.items() if " " not in f}
         self.pair = {f: self.idf[f] * v for f, v in self.top_abusive.items() if " " in f}
@@ -153,8 +160,18 @@ class BlockIndex:
     def far(self, words: list[str]) -> bool:
         """Whether no abusive example can be as near as FLOOR, told from a bound on the product and one on the norm.
 
-        Repeated words count more for the product and less for the norm than they do, so the answer yes is always right.
+        The cosine is at most the root of the sum of the squared largest weights of the features that abusive examples have;
+        where that is not small enough, repeated words count more for the product and less for the norm than they do. So the
+        answer yes is always right.
         """
+        shared = self.top_square.keys() & words
+        total = sum(map(self.top_square.__getitem__, shared))
+        if total < _NEAR:
+            if self.heads.isdisjoint(shared):
+                return True
+            pairs = {w + " " + v for w, v in zip(words, words[1:]) if w in self.heads}
+            if total + sum(map(self.top_square.__getitem__, self.top_square.keys() & pairs)) < _NEAR:
+                return True
         product = norm = 0.0
         rare = (self.unseen**2, 0.0)
         word, heads, before = self.word, self.heads, ""
@@ -174,51 +191,55 @@ class BlockIndex:
 
     def near_abusive(self, vector: list[tuple[str, float]], norm: float) -> bool:
         """Whether an abusive example has a cosine of FLOOR or more, exactly."""
-        known = [(*self.abusive_spans[f], v / norm) for f, v in vector if f in self.abusive_spans]
-        bounds = np.zeros(self.first)
-        for _, _, a, b, v in known:
-            bounds[self.block_of[a:b]] += v * self.block_top[a:b]
-        if bounds.max(initial=0) < FLOOR - 1e-6:
-            return False
-        dots = np.zeros(self.abusive)
-        for a, b, _, _, v in known:
-            dots[self.rows[a:b]] += v * self.weights[a:b]
-        return bool(dots.max(initial=0) >= FLOOR)
+        known = [(v / norm * self.top_abusive[f], v / norm, *self.abusive_spans[f]) for f, v in vector if f in self.abusive_spans]
+        return len(self._reach(known, self.abusive, self.abusive_blocks)[0]) > 0
 
     def nearest(self, vector: list[tuple[str, float]], norm: float, skip: frozenset[int] | set[int] = frozenset(), k: int = NEAREST) -> list[tuple[int, float]]:
         """The k nearest examples with a cosine of FLOOR or more, exactly; ties by number. ``skip`` are left out."""
-        known = [(*self.spans[f], v / norm) for f, v in vector if f in self.spans]
-        bounds = np.zeros(self.blocks)
-        for _, _, a, b, v in known:
-            bounds[self.block_of[a:b]] += v * self.block_top[a:b]
-        if int((bounds >= FLOOR).sum()) > WIDE:  # the bounds tell little: all postings at once
-            dots = np.zeros(len(self.labels))
-            for a, b, _, _, v in known:
-                dots[self.rows[a:b]] += v * self.weights[a:b]
-            if skip:
-                dots[list(skip)] = 0
-            hits = np.flatnonzero(dots >= FLOOR)
-            if len(hits) > k:
-                hits = hits[dots[hits] >= np.partition(dots[hits], len(hits) - k)[len(hits) - k]]
-            return [(int(i), float(dots[i])) for i in sorted(hits, key=lambda i: (-dots[i], i))[:k]]
-        best: list[tuple[float, int]] = []
-        least = FLOOR
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] < least - 1e-6:
+        known = [(v / norm * self.spans[f][4], v / norm, *self.spans[f][:4]) for f, v in vector if f in self.spans]
+        hits, dots = self._reach(known, len(self.labels), self.blocks)
+        if skip and len(hits):
+            kept = ~np.isin(hits, list(skip))
+            hits, dots = hits[kept], dots[kept]
+        best = np.lexsort((hits, -dots))[:k]
+        return [(int(hits[i]), float(dots[i])) for i in best]
+
+    def _reach(self, known: list[tuple], count: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers below ``count`` and cosines of all examples with a cosine of FLOOR or more.
+
+        ``known``: (largest product, query weight, range of postings, range of blocks) of each feature. The features with the
+        smallest products, which together stay below FLOOR, cannot reach it alone: only the others' postings are read, in the
+        blocks whose bound is high enough if these are few, and what stays in reach is completed from the rest.
+        """
+        known.sort()
+        light, total = 0, 0.0
+        while light < len(known) and total + known[light][0] < FLOOR - 1e-6:
+            total += known[light][0]
+            light += 1
+        heavy = known[light:]
+        none = np.zeros(0, dtype=np.int64)
+        if not heavy:
+            return none, none.astype(float)
+        if sum(b - a for _, _, a, b, _, _ in heavy) > DENSE:
+            bounds = np.zeros(blocks)
+            for _, v, _, _, a, b in known:
+                bounds[self.block_of[a:b]] += v * self.block_top[a:b]
+            near = bounds >= FLOOR - 1e-6
+            if not near.any():
+                return none, none.astype(float)
+        dots = np.zeros(count)
+        for _, v, a, b, _, _ in heavy:
+            dots[self.rows[a:b]] += v * self.weights[a:b]
+        hits = np.flatnonzero(dots >= max(1e-9, FLOOR - total - 1e-6))
+        sums = dots[hits]
+        for _, v, a, b, _, _ in known[:light]:
+            if not len(hits):
                 break
-            low, high = block * BLOCK, min((block + 1) * BLOCK, len(self.labels))
-            dots = np.zeros(high - low)
-            for start, end, _, _, v in known:
-                a, b = start + np.searchsorted(self.rows[start:end], (low, high))
-                if a < b:
-                    dots[self.rows[a:b] - low] += v * self.weights[a:b]
-            for i in np.flatnonzero(dots >= least):
-                if low + int(i) not in skip:
-                    best.append((-float(dots[i]), low + int(i)))
-            best = sorted(best)[:k]
-            if len(best) == k:
-                least = max(FLOOR, -best[-1][0])
-        return [(i, -d) for d, i in best]
+            ids = self.rows[a:b]
+            at = np.minimum(np.searchsorted(ids, hits), len(ids) - 1)
+            sums += np.where(ids[at] == hits, v * self.weights[a:b][at], 0)
+        kept = sums >= FLOOR
+        return hits[kept], sums[kept]
 
     def vote(self, near: list[tuple[int, float]], labels: np.ndarray | None = None) -> float:
         labels = self.labels if labels is None else labels
@@ -256,7 +277,7 @@ class ExampleModel:
             skip = set().union(*(by_doc[d] for d in owners[k]))
             near = rated.nearest(*rated.query(vectors[i]), skip=skip)
             n = len(owners[k]) - 1
-            labels[i] = float((n * share[i] + OTHERS * rated.vote(near, soft)) / (n + OTHERS) >= 0.5)
+            labels[i] = float((n * share[i] + OTHERS * rated.vote(near, soft)) / (n + OTHERS) >= AGREED)
         self.index = BlockIndex(list(zip(vectors, labels)))
         self._calibrate(documents, owners, keys)
 
