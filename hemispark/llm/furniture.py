@@ -19,7 +19,7 @@ _CANDIDATE = re.compile(
     r"\[ *(?i:page) +\d{1,4} *\]"
     r"|[-–—] *\d{1,4} *[-–—](?: +[A-Z][\w.]*(?: [A-Z][\w.]*){0,4}(?: *\([^()\n]{2,40}\))?)?"
     r"|\d{1,4} *\| *[A-Z][\w.]*(?: +(?:[A-Z][\w.]*|of|no|n°|\d{1,4})){1,7}"
-    r"|[pP](?:age|\.) *\d{1,4} */ *[A-Z]\w+(?: [A-Z]\w+){0,4}"
+    r"|[pP](?:age|\.) *\d{1,4} */ *[A-Z]\w+(?: [A-Z]\w+)?"
     rf"|\d{{1,4}} +[A-Z]\w+(?: +[A-Z]\w+){{1,4}} +{_DATE}"
     rf"|[A-Z]\w+ +(?:(?:[A-Z]\w+|to|of|and|the) +){{0,5}}(?:[-–—] +)?{_DATE}(?: +[-–—]| +Col\.?)? +\d{{1,4}}"
     r"|[A-Z][a-z]+ +\d{1,4} +\d{1,2}\.\d{1,2}\.\d{2,4} +(?:UN)?REVISED"

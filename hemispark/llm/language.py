@@ -212,10 +212,10 @@ def train(sample: list[tuple[str, str]], languages: list[str]) -> ByteNetwork |
     return ByteNetwork(classes).fit(grid[keep], y[keep])
 
 
-def _halves(cleaned: list[str], spans: list[list[tuple[int, int]]], p: np.ndarray, network: ByteNetwork) -> dict[tuple[int, int], int]:
-    """Of each sentence that differs from the one before or after: the language its halves agree on, -1 if none.
+def _halves(cleaned: list[str], spans: list[list[tuple[int, int]]], p: np.ndarray, network: ByteNetwork) -> dict[tuple[int, int], tuple[int, int]]:
+    """The languages of the two halves of each sentence of a text that seems mixed, or is one sentence.
 
-    A borrowed phrase colours one half of a sentence only.
+    A borrowed phrase colours one half of a sentence only; the other half has the language of the text.
     """
     asked, texts, at = [], [], 0
     for i, (c, s) in enumerate(zip(cleaned, spans)):
@@ -228,7 +228,7 @@ def _halves(cleaned: list[str], spans: list[list[tuple[int, int]]], p: np.ndarra
                     asked.append((i, j))
                     texts += [" ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])]
     half = network.read(texts).argmax(1) if texts else []
-    return {k: int(half[2 * n]) if half[2 * n] == half[2 * n + 1] else -1 for n, k in enumerate(asked)}
+    return {k: (int(half[2 * n]), int(half[2 * n + 1])) for n, k in enumerate(asked)}
 
 
 def segments_of(texts: list[str], network: ByteNetwork) -> list[list[tuple[str, float, str]]]:
@@ -252,7 +252,7 @@ def segments_of(texts: list[str], network: ByteNetwork) -> list[list[tuple[str,
         main = int(total.argmax())
         best = p.argmax(1)
         best[(size < SEGMENT_LETTERS) | (p.max(1) < SURE)] = main
-        best[[j for j in range(len(s)) if best[j] != main and halves.get((i, j), best[j]) != best[j]]] = main
+        best[[j for j in range(len(s)) if best[j] != main and main in halves.get((i, j), ())]] = main
         found: list[tuple[str, float, str]] = []
         for k, (a, b), prob, n in zip(best, s, p, size):
             language, confidence, words = network.classes[k], float(prob[k]), c[a:b].strip()
