@@ -15,5 +15,5 @@ def stream_turns(spark: SparkSession, path: str) -> DataFrame:
 
 def tag_counts(turns: DataFrame, late: str = "30 days", window: str = "7 days") -> DataFrame:
     """Rows and tags per window of arrival; later rows than ``late`` behind the newest are dropped by the watermark."""
-    tagged = rule_tags(turns.withWatermark("ingested_at", late).dropDuplicatesWithinWatermark(["debate_id", "seq_index"]))
+    tagged = rule_tags(turns.withColumn("ingested_at", F.col("ingested_at").cast("timestamp")).withWatermark("ingested_at", late).dropDuplicatesWithinWatermark(["debate_id", "seq_index"]))
     return tagged.groupBy(F.window("ingested_at", window).alias("w")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(t).cast("long")).alias(t) for t in TAGS)).select(F.col("w.start").alias("week"), "n", *TAGS)
