@@ -39,7 +39,7 @@ _WEIGHTS = np.array(
         [-1.0, -1.0, 1.2],  # a number alone
         [-0.4, -0.6, 0.8],  # share of capitals
         [-0.5, -0.5, 1.5],  # has words of running titles next to a number
-        [0.8, 0.4, -1.2],  # has words in lower case that titles lack
+        [1.2, 0.6, -1.8],  # has words in lower case that titles lack
         [-1.5, 4.0, -3.0],  # ends in a cut word
         [1.0, 0.5, -1.5],  # ends a sentence
     ]
@@ -53,7 +53,7 @@ def _matches(piece: str) -> bool:
 
 def _features(piece: str, own_line: bool) -> list[float]:
     words = re.findall(r"[^\W\d_]+", piece)
-    small = [w for w in words if w.islower() and w.lower() not in _TITLE_WORDS and w not in ("of", "to", "and", "the", "p", "page")]
+    small = [w for w in words if w.islower() and w.lower() not in _TITLE_WORDS and w not in ("of", "to", "and", "the", "p", "page", "no", "col")]
     capitals = sum(w[0].isupper() for w in words) / len(words) if words else 0
     digits = any(c.isdigit() for c in piece)
     return [
@@ -62,7 +62,7 @@ def _features(piece: str, own_line: bool) -> list[float]:
         float(own_line),
         float(bool(_PAGE_NUMBER.fullmatch(piece)) and digits),
         capitals if digits else 0.0,
-        float(digits and len(words) <= 8 and bool(set(map(str.lower, words)) & _TITLE_WORDS)),
+        float(digits and len(words) <= 8 and not small and bool(set(map(str.lower, words)) & _TITLE_WORDS)),
         float(bool(small)),
         float(bool(_CUT.search(piece))),
         float(bool(re.search(r"[.!?][”\"']?$", piece)) and bool(words)),
