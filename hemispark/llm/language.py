@@ -28,8 +28,12 @@ WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 16, 12
 SAMPLE = 1500
 #: Shortest sentence (letters) that can be a segment of its own, and least confidence of a second language.
 SEGMENT_LETTERS, SURE = 8, 0.75
+#: Probability of the text's language in one half of a sentence from which the other half counts as a borrowed phrase.
+HALF = 0.95
 _SENTENCE = re.compile(r".*?[.!?…]+[”\"»')\]]*(?=\s|$)|.+$", re.DOTALL)
-_ABBREVIATION = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Mme|Hon|St|No|p|pp|Col|cf|vs|etc|[A-Z])|\b[ap]\.?m|\d)\.$")
+_ABBREVIATION = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Mme|Hon|St|No|p|pp|Col|cf|vs|etc|[A-Z])\.$")
+_SOFT_END = re.compile(r"(?:\b[ap]\.?m|\d)\.$")
+_CAPITAL = re.compile(r"\s+[\"“«(]?[A-ZÀ-Þ]")
 #: Bytes share rows by this rule: lower case, digits alike, other signs alike.
 _FOLD = np.arange(256)
 _FOLD[0x41:0x5B] += 0x20
@@ -46,13 +50,13 @@ def clean_for_reading(text: str) -> str:
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of sentences; abbreviations, initials and numbers don't end one."""
+    """(start, end) of sentences; abbreviations and initials don't end one, nor do numbers and hours before a small letter."""
     out, start = [], None
     for m in _SENTENCE.finditer(text):
         a, b = m.span()
         if start is None:
             start = a
-        if _ABBREVIATION.search(text, max(start, b - 12), b) and b < len(text) and not re.match(r"\s+[A-ZÀ-Þ]\w+ \w+", text[b : b + 30]):
+        if b < len(text) and (_ABBREVIATION.search(text, max(start, b - 12), b) or _SOFT_END.search(text, max(start, b - 12), b) and not _CAPITAL.match(text, b)):
             continue
         out.append((start, b))
         start = None
@@ -212,8 +216,8 @@ def train(sample: list[tuple[str, str]], languages: list[str]) -> ByteNetwork |
     return ByteNetwork(classes).fit(grid[keep], y[keep])
 
 
-def _halves(cleaned: list[str], spans: list[list[tuple[int, int]]], p: np.ndarray, network: ByteNetwork) -> dict[tuple[int, int], tuple[int, int]]:
-    """The languages of the two halves of each sentence of a text that seems mixed, or is one sentence.
+def _halves(cleaned: list[str], spans: list[list[tuple[int, int]]], p: np.ndarray, network: ByteNetwork) -> dict[tuple[int, int], np.ndarray]:
+    """For each sentence of a text that seems mixed the larger probability of each language among its two halves.
 
     A borrowed phrase colours one half of a sentence only; the other half has the language of the text.
     """
@@ -221,14 +225,14 @@ def _halves(cleaned: list[str], spans: list[list[tuple[int, int]]], p: np.ndarra
     for i, (c, s) in enumerate(zip(cleaned, spans)):
         best = p[at : at + len(s)].argmax(1)
         at += len(s)
-        if len(s) and ((best != best[0]).any() or len(s) == 1):
+        if len(s) and (best != best[0]).any():
             for j, (a, b) in enumerate(s):
                 words = c[a:b].split()
                 if len(words) >= 4:
                     asked.append((i, j))
                     texts += [" ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])]
-    half = network.read(texts).argmax(1) if texts else []
-    return {k: (int(half[2 * n]), int(half[2 * n + 1])) for n, k in enumerate(asked)}
+    half = network.read(texts)
+    return {k: np.maximum(half[2 * n], half[2 * n + 1]) for n, k in enumerate(asked)}
 
 
 def segments_of(texts: list[str], network: ByteNetwork) -> list[list[tuple[str, float, str]]]:
@@ -252,7 +256,7 @@ def segments_of(texts: list[str], network: ByteNetwork) -> list[list[tuple[str,
         main = int(total.argmax())
         best = p.argmax(1)
         best[(size < SEGMENT_LETTERS) | (p.max(1) < SURE)] = main
-        best[[j for j in range(len(s)) if best[j] != main and main in halves.get((i, j), ())]] = main
+        best[[j for j in range(len(s)) if best[j] != main and (i, j) in halves and halves[i, j][main] >= HALF]] = main
         found: list[tuple[str, float, str]] = []
         for k, (a, b), prob, n in zip(best, s, p, size):
             language, confidence, words = network.classes[k], float(prob[k]), c[a:b].strip()
