@@ -62,3 +62,37 @@ def cluster_vectors(df: DataFrame, vector: str, key: str, clusters: int, least:
     for c, i in numbers.items():
         topic = F.when(F.col("_c") == c, i).otherwise(topic)
     return found.select(key, topic.cast("long").alias("topic_id"))
+
+
+def tag_models(df: DataFrame, text: str, tags: list[str], keys: list[str], features: int = FEATURES) -> DataFrame:
+    """(keys, <tag>_rule, <tag>_model, <tag>_combined) for each tag: a weighted logistic model of the text alone beside the rule.
+
+    The rarer side weighs more, within the bounds of :func:`hemispark.operators.aggregates.class_weights`; a score of 0.5
+    or more counts. A tag that never or always occurs has no model, its model column is 0.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    from hemispark.operators.aggregates import class_weights
+
+    weights = {r.flag: r.weight for r in class_weights(df, tags).collect()}
+    seen = df.agg(*(F.countDistinct(t).alias(t) for t in tags)).first()
+    rows = _with_tokens(df, text)
+    hashed = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features, binary=True).transform(rows)
+    shaped = IDF(inputCol="_tf", outputCol="_features").fit(hashed).transform(hashed).select(*keys, *tags, "_features")
+    for t in tags:
+        if seen[t] < 2:
+            shaped = shaped.withColumn(f"{t}_model", F.lit(0))
+            continue
+        data = shaped.withColumn("_y", F.col(t).cast("double")).withColumn("_w", F.when(F.col(t), weights[t]).otherwise(1.0))
+        fit = LogisticRegression(featuresCol="_features", labelCol="_y", weightCol="_w", maxIter=15, regParam=1e-3, probabilityCol="_p", predictionCol="_q", rawPredictionCol="_r").fit(data.select("_features", "_y", "_w"))
+        shaped = fit.transform(data).withColumn(f"{t}_model", (F.get(vector_to_array("_p"), F.lit(1)) >= 0.5).cast("int")).drop("_y", "_w", "_p", "_q", "_r")
+    columns = [c for t in tags for c in (F.col(t).cast("int").alias(f"{t}_rule"), F.col(f"{t}_model"), F.greatest(F.col(t).cast("int"), F.col(f"{t}_model")).alias(f"{t}_combined"))]
+    return shaped.select(*keys, *columns)
+
+
+def disagreements(tagged: DataFrame, tags: list[str], keys: list[str], most: int = 20, seed: int = 42) -> DataFrame:
+    """(tag, keys, rule, model): at most ``most`` rows of each tag on which rule and model differ."""
+    from hemispark.operators.sampling import sample_per_group
+
+    long = tagged.select(*keys, F.explode(F.array(*(F.struct(F.lit(t).alias("tag"), F.col(f"{t}_rule").alias("rule"), F.col(f"{t}_model").alias("model")) for t in tags))).alias("x")).select(*keys, "x.*")
+    return sample_per_group(long.where(F.col("rule") != F.col("model")), "tag", most, [*keys, "tag"], seed)

@@ -84,3 +84,36 @@ def nearest_centroids(df: DataFrame, vector: str, label: str, key: str, outliers
     cosine = lambda c: F.round(F.try_divide(dot(v, c), F.sqrt(dot(v, v)) * F.sqrt(dot(c, c))), 9)
     near = F.array_max(F.filter(F.transform("_all", lambda s: F.struct(cosine(s["c"]).alias("cos"), (-s["l"]).alias("neg"))), lambda s: s["cos"].isNotNull()))
     return asked.crossJoin(F.broadcast(centroids)).withColumn("_n", near).where(F.col("_n").isNotNull()).select(key, (-F.col("_n.neg")).alias("nearest"), F.col("_n.cos").alias("similarity"))
+
+
+def topic_coherence(df: DataFrame, text: str, terms: DataFrame, group: str, window: int = 110) -> DataFrame:
+    """(group, coherence): c_v of each group's top terms.
+
+    Texts are read in windows of ``window`` words that move by one; a term's vector holds its normalised pointwise mutual
+    information with each of the group's terms, and the coherence is the mean cosine of the terms' vectors with their
+    sum. ``terms``: (group, token), some dozens a group, which is what bounds the pairs within a window.
+    """
+    import numpy as np
+
+    wanted = [(r[group], r.token) for r in terms.select(group, "token").distinct().collect()]
+    listed = sorted({t for _, t in wanted})
+    spark = df.sparkSession
+    schema = f"{group} {terms.schema[group].dataType.simpleString()}, coherence double"
+    if not listed:
+        return spark.createDataFrame([], schema)
+    known = F.array(*map(F.lit, listed))
+    all_tokens = df.select(tokens(F.col(text), WORD).alias("_t")).where(F.size("_t") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_t") - window + 1, F.lit(1)))
+    seen = all_tokens.select(F.explode(F.transform(starts, lambda s: F.array_intersect(known, F.slice("_t", s, window)))).alias("w"))
+    total = seen.count()
+    pair = F.explode(F.flatten(F.transform("w", lambda a: F.transform(F.filter("w", lambda b: a <= b), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")
+    counts = {(r.a, r.b): r.n for r in seen.where(F.size("w") > 0).select(pair).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).collect()}  # pairs of listed terms
+    eps, out = 1e-12, []
+    for g in dict.fromkeys(g for g, _ in wanted):
+        own = [t for x, t in wanted if x == g]
+        p = lambda a, b: counts.get((min(a, b), max(a, b)), 0) / total
+        m = np.array([[np.log((p(a, b) + eps) / max(eps, p(a, a) * p(b, b))) / -np.log(p(a, b) + eps) if 0 < p(a, b) < 1 else float(p(a, b) == 1) for b in own] for a in own])
+        whole = m.sum(0)
+        norms = np.linalg.norm(m, axis=1) * np.linalg.norm(whole)
+        out.append((g, float(np.mean(np.divide(m @ whole, norms, out=np.zeros(len(own)), where=norms > 0)))))
+    return spark.createDataFrame(out, schema)

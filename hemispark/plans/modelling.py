@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hemispark.functions.dates import day_month_year
 from hemispark.operators import classify, panels, stats, vocabulary, windows
+from hemispark.operators.rules import TAGS
 from hemispark.plans.base import KEY, debates, query, table, tagged, topics, turns
 
 _DAY = r"try_strptime(regexp_extract(sitting_date, '(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})', 0), '%d %B %Y')::DATE"
@@ -126,3 +127,19 @@ def two_stage_routing(spark: SparkSession, d: str) -> DataFrame:
     gate = classify.train_classifier(rows.withColumn("gate", F.when(F.col("topic") == "non_policy", "none").otherwise("policy")), "text", "gate")
     domain = classify.train_classifier(rows.where("topic <> 'non_policy'"), "text", "topic")
     return classify.two_stage(turns(spark, d, "text", "is_stage_direction").where(~F.col("is_stage_direction")), gate, domain, "text", KEY)
+
+
+@query()
+def topic_coherence(spark: SparkSession, d: str) -> DataFrame:
+    rows = turns(spark, d, "text").join(topics(spark, d), KEY)
+    return vocabulary.topic_coherence(rows, "text", vocabulary.top_terms(rows, "topic", "text"), "topic")
+
+
+@query()
+def procedural_tags_final(spark: SparkSession, d: str) -> DataFrame:
+    return classify.tag_models(tagged(spark, d), "text", TAGS, KEY)
+
+
+@query()
+def tag_disagreements(spark: SparkSession, d: str) -> DataFrame:
+    return classify.disagreements(procedural_tags_final(spark, d), TAGS, KEY)

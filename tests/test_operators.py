@@ -215,3 +215,24 @@ def test_vocabulary(spark):
     cases = [("", None, "unknown"), ("mo pa kone", "fr", "mfe"), ("pou nou", None, "mfe"), ("x" * 19, "xx", "en"), ("x" * 20, "xx", "xx"), ("il fait beau pour nous dan la rue", "fr", "mfe"), ("plain words with nothing special", None, "unknown"), ("mo 12345", None, "mfe")]
     got = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, t string, d string").select("i", vocabulary.keyword_language(F.col("t"), F.col("d")).alias("l")).orderBy("i").collect()
     assert [r.l for r in got] == [c[2] for c in cases]
+
+
+def test_chunks_make_no_difference(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for d, size in (("hot", 400), ("a", 3), ("b", 40), ("c", 1)):
+        at = 0
+        for _ in range(size):
+            at += rng.choice([1, 1, 1, 2, 9, 60])
+            rows.append((d, at, rng.random() < 0.15, rng.random() < 0.5))
+    df = spark.createDataFrame(rows, "d string, i long, e boolean, s boolean").repartition(5)
+    values = spark.createDataFrame([(d, i, f"{d}{i}") for d, i, _, _ in rows], "d string, i long, v string")
+    monkeypatch.setattr(windows, "CHUNK", 16)
+    got = {(r.d, r.i): r.intervened for r in windows.event_follows(df, "e", ["d"], ["i"]).collect()}
+    whole = {(r.d, r.i): r.intervened for r in windows.event_follows(df.withColumn("k", F.col("i").cast("double")), "e", ["d"], ["k"]).collect()}
+    assert got == whole and len(got) == len(rows)
+    nexts = {(r.d, r.i): r.t for r in windows.own_or_next(df, values, "d", "i", "s", "v", "t").collect()}
+    for d in "abc":
+        own = sorted((i, s) for x, i, _, s in rows if x == d)
+        for (i, s), after in zip(own, [*own[1:], None]):
+            assert nexts[d, i] == (f"{d}{i}" if not s else f"{d}{after[0]}" if after else None)
