@@ -14,10 +14,10 @@ _PLAIN_LABEL = r"^[\x20-\x7E\xC0-\xFF]+$"
 _PAREN = r"'\(([^)]+)\)\s*$'"
 
 # candidates of a label, in SQL
-_RESOLVED = rf"""
+_ALL_RESOLVED = rf"""
 sp AS (SELECT debate_id, seq_index, speaker_raw, assembly, sitting_date, CASE assembly WHEN 'SIXTH' THEN '6th' WHEN 'SEVENTH' THEN '7th' WHEN 'EIGHTH' THEN '8th' END AS term
-  FROM u WHERE role = 'unclassified_mp' AND NOT is_stage_direction AND regexp_full_match(speaker_raw, '[\x20-\x7E\x{{C0}}-\x{{FF}}]+')),
-wd AS (SELECT *, list_filter(list_transform(list_filter(string_split_regex({_S("lower(strip_accents(" + "regexp_replace(" + _S(f"CASE WHEN regexp_extract(speaker_raw, {_PAREN}, 1) <> '' THEN regexp_extract(speaker_raw, {_PAREN}, 1) ELSE speaker_raw END") + r", '^(Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Madam|The)\s+', '')" + "))")}, '\s+'),
+  FROM u WHERE role = 'unclassified_mp' AND NOT is_stage_direction /*filter*/),
+wd AS (SELECT *, list_filter(list_transform(list_filter(string_split_regex({_S("lower(strip_accents(" + r"regexp_replace(regexp_replace(" + _S(f"CASE WHEN regexp_extract(speaker_raw, {_PAREN}, 1) <> '' THEN regexp_extract(speaker_raw, {_PAREN}, 1) ELSE speaker_raw END") + r", '^(Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Madam|The)\s+', ''), '\p{M}+', '', 'g')" + "))")}, '[\s\p{{Z}}]+'),
   lambda x: x <> ''), lambda x: regexp_replace(x, '^\.+|\.+$', '', 'g')), lambda x: x <> '') AS w FROM sp),
 cd AS (SELECT *, CASE WHEN len(w) >= 2 THEN w[-2] || ' ' || w[-1] END AS c2, w[-1] AS c1 FROM wd),
 rk AS (SELECT assembly_term AS term, {_S("lower(strip_accents(surname_key))")} AS key, count(DISTINCT full_name) AS people, arg_min(party, full_name || chr(1) || coalesce(party, '')) AS party,
@@ -26,6 +26,7 @@ rp AS (SELECT term, key, people, (SELECT party FROM speaker_registry r WHERE r.a
 rs AS (SELECT cd.*, coalesce(a.people, b.people) AS people, CASE WHEN a.people IS NOT NULL THEN a.party ELSE b.party END AS party, a.people IS NOT NULL AS two
   FROM cd LEFT JOIN rp a ON a.term = cd.term AND a.key = cd.c2 LEFT JOIN rp b ON b.term = cd.term AND b.key = cd.c1)
 """
+_RESOLVED = _ALL_RESOLVED.replace("/*filter*/", r"AND regexp_full_match(speaker_raw, '[\x20-\x7E\x{C0}-\x{FF}]+')")
 _METHOD = "CASE WHEN people IS NULL THEN 'no_match' WHEN people > 1 THEN 'ambiguous_collision' WHEN two THEN 'matched_2word' ELSE 'matched_1word' END"
 
 
@@ -70,7 +71,7 @@ def validity_range_join(spark: SparkSession, d: str) -> DataFrame:
     return resolution.valid_sides(rows.join(F.broadcast(parties), "term"), align, ["debate_id", "party"], "party", "term", "day")
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
+def _dated(spark: SparkSession, d: str) -> DataFrame:
     """(debate_id, assembly_term, day): each dated debate once, whichever delivery is read."""
     rows = table(spark, d, "debates").select("debate_id", resolution.term_of(F.col("assembly")).alias("assembly_term"), printed_date(F.col("sitting_date")).alias("day"))
     return rows.where(F.col("assembly_term").isNotNull() & F.col("day").isNotNull())
@@ -91,9 +92,14 @@ pe AS (SELECT DISTINCT debate_id, assembly_term, try_cast(p.y || '-' || lpad(CAS
 _KNOWN = "FROM pe JOIN party_alignment a USING (assembly_term) WHERE day IS NOT NULL AND assembly_term IS NOT NULL AND coalesce(effective_from <= day, true) AND coalesce(day < effective_to, true) AND recorded_at < day::TIMESTAMP"
 
 
+@query(", " + _PRINTED.strip() + " SELECT debate_id, day FROM pe WHERE day IS NOT NULL AND assembly_term IS NOT NULL")
+def printed_dates(spark: SparkSession, d: str) -> DataFrame:
+    return _dated(spark, d).select("debate_id", "day").distinct()
+
+
 @query(", " + _PRINTED.strip() + f" SELECT debate_id, party, gov_or_opp {_KNOWN} QUALIFY row_number() OVER (PARTITION BY debate_id, party, day ORDER BY recorded_at DESC, effective_from DESC NULLS LAST, gov_or_opp DESC) = 1")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    found = event_time.as_known_at(_events(spark, d), table(spark, d, "party_alignment"), ["debate_id"], "day", ["assembly_term"], ["gov_or_opp"], per=["party"])
+    found = event_time.as_known_at(_dated(spark, d), table(spark, d, "party_alignment"), ["debate_id"], "day", ["assembly_term"], ["gov_or_opp"], per=["party"])
     return found.select("debate_id", "party", "gov_or_opp")
 
 
@@ -127,7 +133,27 @@ def speaker_sides(spark: SparkSession, d: str) -> DataFrame:
     return sided.withColumnRenamed("gov_or_opp", "resolved_gov_opp")
 
 
-@query()
+_SIDED = (
+    ", x AS (SELECT 1), " + _ALL_RESOLVED.strip()
+    + f""",
+pa AS (SELECT DISTINCT party, assembly_term AS term, gov_or_opp, effective_from AS f, effective_to AS t FROM party_alignment),
+pw AS (SELECT party, term, count(*) AS n FROM pa GROUP BY ALL),
+rd AS (SELECT debate_id, seq_index, term, CASE WHEN people = 1 THEN party END AS resolved_party, {_METHOD} AS match_method, {_DAY} AS day FROM rs),
+ds AS (SELECT DISTINCT resolved_party, term, day FROM rd WHERE resolved_party IS NOT NULL),
+sd AS (SELECT ds.*, (SELECT gov_or_opp FROM pa WHERE pa.party = ds.resolved_party AND pa.term = ds.term AND (pw.n = 1 OR (ds.day IS NOT NULL AND coalesce(pa.f <= ds.day, true) AND coalesce(ds.day < pa.t, true)))
+  ORDER BY f NULLS FIRST, t NULLS FIRST, gov_or_opp LIMIT 1) AS side FROM ds JOIN pw ON pw.party = ds.resolved_party AND pw.term = ds.term),
+sv AS (SELECT rd.debate_id, rd.seq_index, rd.resolved_party, rd.match_method, sd.side AS resolved_gov_opp FROM rd LEFT JOIN sd
+  ON sd.resolved_party = rd.resolved_party AND sd.term = rd.term AND sd.day IS NOT DISTINCT FROM rd.day),
+an AS (SELECT ev.debate_id, ev.seq_index, role, is_stage_direction, intervened, chair_surname, topic, CASE WHEN role IN ('minister', 'prime_minister', 'deputy_prime_minister') THEN 'government'
+  WHEN role = 'leader_of_opposition' THEN 'opposition' WHEN role = 'unclassified_mp' THEN resolved_gov_opp END AS party
+  FROM ev LEFT JOIN sv USING (debate_id, seq_index) LEFT JOIN ch USING (debate_id) LEFT JOIN tp USING (debate_id, seq_index)),
+lp AS (SELECT debate_id, chair_surname, topic, party, count(*) AS n_utterances, sum(intervened::INT)::BIGINT AS n_intervened, sum(intervened::INT) / count(*) AS intervention_rate
+  FROM an WHERE NOT is_stage_direction AND party IS NOT NULL AND topic IS NOT NULL AND topic <> 'non_policy' AND chair_surname IS NOT NULL GROUP BY ALL)
+"""
+)
+
+
+@query(_SIDED + " SELECT debate_id, seq_index, resolved_party, match_method, resolved_gov_opp FROM sv")
 def speaker_party_resolved(spark: SparkSession, d: str) -> DataFrame:
     return speaker_sides(spark, d)
 
@@ -138,22 +164,27 @@ def analysis(spark: SparkSession, d: str) -> DataFrame:
     return panels.analysis_rows(rows.select(*KEY, "role", "is_stage_direction"), speaker_sides(spark, d), tags, chairs(spark, d), topics(spark, d))
 
 
-@query()
+@query(_SIDED + " SELECT debate_id, chair_surname, topic, party, n_utterances, n_intervened, round(intervention_rate, 9) AS intervention_rate FROM lp")
 def linking_panel(spark: SparkSession, d: str) -> DataFrame:
-    return panels.intervention_panel(panels.eligible(analysis(spark, d)), ["debate_id", "chair_surname", "topic", "party"], 1)
+    panel = panels.intervention_panel(panels.eligible(analysis(spark, d)), ["debate_id", "chair_surname", "topic", "party"], 1)
+    return panel.withColumn("intervention_rate", F.round("intervention_rate", 9))
 
 
-@query()
+@query(_SIDED + " SELECT role, party, count(*) AS n FROM an GROUP BY ALL")
 def final_party_counts(spark: SparkSession, d: str) -> DataFrame:
     return analysis(spark, d).groupBy("role", "party").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(_SIDED + " SELECT topic, count(*) AS cells FROM lp GROUP BY topic HAVING count(*) >= 10")
 def frequent_topics(spark: SparkSession, d: str) -> DataFrame:
     return panels.frequent_levels(linking_panel(spark, d), "topic")[0].groupBy("topic").agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query()
+@query(
+    r""", nm AS (SELECT DISTINCT debate_id, unnest(regexp_extract_all(text, 'B/(\d+)', 1)) AS pq_num FROM u WHERE regexp_matches(text, '(?i)withdraw|with your permission, ')),
+as2 AS (SELECT debate_id, seq_index, unnest(regexp_extract_all(text, 'B/(\d+)', 1)) AS pq_num FROM u WHERE regexp_matches(text, '(?i)with your permission'))
+SELECT debate_id, pq_num, min(seq_index) AS seq_index, bool_or((debate_id, pq_num) IN (SELECT (debate_id, pq_num) FROM nm)) AS transferred FROM as2 GROUP BY ALL"""
+)
 def question_panel(spark: SparkSession, d: str) -> DataFrame:
     """Numbers asked for with permission stand for headers, as the test texts print none; transfers are those of withdrawn turns."""
     rows = turns(spark, d, "text", "is_stage_direction")
