@@ -242,7 +242,36 @@ def header_numbers(spark: SparkSession, d: str) -> DataFrame:
     return debates(spark, d).select("debate_id", extract(F.col("debate_number"), r"No\.\s*(\d+[A-Za-z]?)\s*of\s*(\d{4})", 0).alias("number"))
 
 
-@query()
+def _segmentation_sql() -> str:
+    """The same islands in SQL, over the lines of each document."""
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    short, long = quote(segmentation.SHORT_TAG), quote(segmentation.LONG_TAG)
+    stage = " OR ".join(f"regexp_matches(line, {quote(p)})" for p in segmentation.STAGE_PATTERNS)
+
+    def is_long(x: str) -> str:
+        return f"(regexp_matches({x}, {long}) AND (" + " OR ".join(f"contains(regexp_extract({x}, {long}, 1), '{k}')" for k in segmentation.LONG_TAG_KEYWORDS) + "))"
+
+    def speaker(x: str) -> str:
+        return f"CASE WHEN regexp_matches({x}, {short}) THEN trim(regexp_extract({x}, {short}, 1) || ' ' || regexp_extract({x}, {short}, 2)) WHEN {is_long(x)} THEN trim('The ' || regexp_extract({x}, {long}, 1)) END"
+
+    def rest(x: str) -> str:
+        return f"CASE WHEN regexp_matches({x}, {short}) THEN regexp_extract({x}, {short}, 3) WHEN {is_long(x)} THEN regexp_extract({x}, {long}, 2) END"
+
+    pair = "(line || ' ' || nxt)"
+    return f""", l0 AS (SELECT doc_id::VARCHAR AS debate_id, unnest(range(len(x))) AS l, unnest(x) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+l1 AS (SELECT debate_id, l, {_STRIP.format("raw")} AS line FROM l0),
+l2 AS (SELECT *, lead(line) OVER w AS nxt, ({stage}) AS stage, {speaker("line")} AS who, {rest("line")} AS body FROM l1 WHERE line <> '' AND NOT regexp_matches(line, {quote(segmentation.PAGE_NUMBER)}) WINDOW w AS (PARTITION BY debate_id ORDER BY l)),
+l3 AS (SELECT *, coalesce(NOT stage AND who IS NULL AND starts_with(line, 'The ') AND nxt IS NOT NULL AND {is_long(pair)} AND NOT regexp_matches({pair}, {short}), false) AS would FROM l2),
+l4 AS (SELECT *, sum((NOT would OR NOT coalesce(before, false))::INT) OVER (PARTITION BY debate_id ORDER BY l) AS run FROM (SELECT *, lag(would) OVER (PARTITION BY debate_id ORDER BY l) AS before FROM l3)),
+l5 AS (SELECT *, would AND row_number() OVER (PARTITION BY debate_id, run ORDER BY l) % 2 = 1 AS joined FROM l4),
+l6 AS (SELECT * FROM (SELECT *, coalesce(lag(joined) OVER (PARTITION BY debate_id ORDER BY l), false) AS eaten FROM l5) WHERE NOT eaten),
+l7 AS (SELECT debate_id, l, line, stage, CASE WHEN joined THEN {speaker(pair)} WHEN NOT stage THEN who END AS who, CASE WHEN joined THEN {rest(pair)} WHEN NOT stage THEN body END AS body FROM l6),
+l8 AS (SELECT *, sum((stage OR who IS NOT NULL OR coalesce(after_stage, false))::INT) OVER (PARTITION BY debate_id ORDER BY l) AS turn FROM (SELECT *, lag(stage) OVER (PARTITION BY debate_id ORDER BY l) AS after_stage FROM l7)),
+l9 AS (SELECT debate_id, turn, arg_min(who, l) AS speaker_raw, bool_or(stage) AS is_stage_direction, string_agg(CASE WHEN who IS NOT NULL THEN body ELSE line END, ' ' ORDER BY l) FILTER (CASE WHEN who IS NOT NULL THEN body ELSE line END <> '') AS t FROM l8 GROUP BY ALL)
+SELECT debate_id, row_number() OVER (PARTITION BY debate_id ORDER BY turn) - 1 AS seq_index, speaker_raw, {_STRIP.format("t")} AS text, is_stage_direction FROM l9 WHERE {_STRIP.format("t")} <> ''"""
+
+
+@query(_segmentation_sql())
 def line_segmentation(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.segment_turns(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("debate_id"), F.array("text").alias("pages")))
 
