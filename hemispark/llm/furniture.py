@@ -28,6 +28,8 @@ _CANDIDATE = re.compile(
 )
 _PAGE_NUMBER = re.compile(r"\(?[-–— ]*\d{1,4}[-–— ]*\)?")
 _CUT = re.compile(r"[^\W\d_]-\s*$")
+_CUT_LINE = re.compile(r"[^\W\d_]-[ \t]*\n")
+_DIGIT = re.compile(r"\d")
 #: Titles that run along page heads.
 _TITLE_WORDS = frozenset("page debate debates motion motions bills bill public oral written answers questions question official report assembly national parliament house committee hansard revised unrevised col column session sitting order paper".split())
 #: Rows: features as in _features(); columns: body, break, header.
@@ -55,7 +57,7 @@ def _features(piece: str, own_line: bool) -> list[float]:
     words = re.findall(r"[^\W\d_]+", piece)
     small = [w for w in words if w.islower() and w.lower() not in _TITLE_WORDS and w not in ("of", "to", "and", "the", "p", "page", "no", "col")]
     capitals = sum(w[0].isupper() for w in words) / len(words) if words else 0
-    digits = any(c.isdigit() for c in piece)
+    digits = bool(_DIGIT.search(piece))
     return [
         1.0,
         float(_matches(piece)),
@@ -74,7 +76,7 @@ def pieces(text: str) -> list[tuple[int, int, bool]]:
     out, at = [], 0
     for line in text.split("\n"):
         cuts = []
-        if any(c.isdigit() for c in line):
+        if _DIGIT.search(line):
             for m in _CANDIDATE.finditer(line):
                 a, b = m.span()
                 if _matches(m.group()) and (a == 0 or not line[a - 1].isalnum()) and (b == len(line) or not line[b].isalnum()):
@@ -96,8 +98,9 @@ def label_pieces(text: str) -> list[tuple[int, int, int]]:
     found = pieces(text)
     if not found:
         return []
-    if len(found) == 1 and not any(c.isdigit() for c in text):
-        return [(found[0][0], found[0][1], BREAK if _CUT.search(text[found[0][0] : found[0][1]]) else BODY)]
+    # no furniture without a number: then only a cut last line has to be told
+    if not _DIGIT.search(text) and (len(found) == 1 or not _CUT_LINE.search(text)):
+        return [(a, b, BODY) for a, b, _ in found[:-1]] + [(found[-1][0], found[-1][1], BREAK if _CUT.search(text[found[-1][0] : found[-1][1]]) else BODY)]
     scores = np.array([_features(text[a:b].strip(), own) for a, b, own in found]) @ _WEIGHTS
     best, back = scores[0], np.zeros(scores.shape, dtype=int)
     for i in range(1, len(scores)):

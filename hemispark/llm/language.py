@@ -137,7 +137,9 @@ class ByteNetwork:
             dbias.append(g.sum(0).astype(np.float32))
             back = np.einsum("nf,wef->nfwe", g, self.taps[i])
             rows = grid[np.arange(n)[:, None, None], where[i][:, :, None] + np.arange(w)]
-            np.add.at(dembed, rows.reshape(-1), back.reshape(-1, EMBED))
+            flat, values = rows.reshape(-1), back.reshape(-1, EMBED)
+            for k in range(EMBED):
+                dembed[:, k] += np.bincount(flat, values[:, k], minlength=256)
         return [dembed, *dtaps, *dbias, h.T @ d, d.sum(0)]
 
     def _folded(self) -> list[np.ndarray]:
