@@ -96,3 +96,23 @@ def disagreements(tagged: DataFrame, tags: list[str], keys: list[str], most: int
 
     long = tagged.select(*keys, F.explode(F.array(*(F.struct(F.lit(t).alias("tag"), F.col(f"{t}_rule").alias("rule"), F.col(f"{t}_model").alias("model")) for t in tags))).alias("x")).select(*keys, "x.*")
     return sample_per_group(long.where(F.col("rule") != F.col("model")), "tag", most, [*keys, "tag"], seed)
+
+
+def compare_models(df: DataFrame, text: str, label: str, keys: list[str], none: str = "non_policy", share: float = 0.1, cap: int | None = None) -> DataFrame:
+    """(model, accuracy, macro_f1, weighted_f1) of a single-stage and a two-stage classifier on one held-out part.
+
+    The held-out part keeps the natural shares of the labels; ``cap`` bounds the rows of ``none`` that the single stage trains on.
+    """
+    from hemispark.operators.aggregates import class_metrics, summary_metrics
+    from hemispark.operators.sampling import cap_class, split_by_hash
+
+    parts = split_by_hash(df.where(F.col(label).isNotNull()).select(*keys, text, label), keys, share, strata=label)
+    train, held = parts.where(~F.col("held_out")).drop("held_out"), parts.where("held_out").drop("held_out")
+    single = train_classifier(train if cap is None else cap_class(train, label, none, cap, keys), text, label)
+    gate = train_classifier(train.withColumn("_gate", F.when(F.col(label) == none, "none").otherwise("policy")), text, "_gate")
+    domain = train_classifier(train.where(F.col(label) != none), text, label)
+    out = None
+    for name, guessed in (("single_stage", predict(held, single, text, keys)), ("two_stage", two_stage(held, gate, domain, text, keys, none))):
+        scored = summary_metrics(class_metrics(held.select(*keys, label).join(guessed, keys), label, "predicted_label")).withColumn("model", F.lit(name))
+        out = scored if out is None else out.unionByName(scored)
+    return out.select("model", "accuracy", "macro_f1", "weighted_f1")

@@ -117,3 +117,15 @@ def topic_coherence(df: DataFrame, text: str, terms: DataFrame, group: str, wind
         norms = np.linalg.norm(m, axis=1) * np.linalg.norm(whole)
         out.append((g, float(np.mean(np.divide(m @ whole, norms, out=np.zeros(len(own)), where=norms > 0)))))
     return spark.createDataFrame(out, schema)
+
+
+def taxonomy(df: DataFrame, group: str, text: str, order: list[str], terms: int = 10, examples: int = 3) -> DataFrame:
+    """(group, n, terms, examples): size, top terms and first texts of each group; NULL groups are left out."""
+    from hemispark.operators.aggregates import examples_per_group
+
+    rows = df.where(F.col(group).isNotNull())
+    listed = lambda part, column: part.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", column))), lambda x: x[column]).alias(column))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    top = listed(top_terms(rows, group, text, terms), "token").withColumnRenamed("token", "terms")
+    first = listed(examples_per_group(rows, group, order, text, examples), text).withColumnRenamed(text, "examples")
+    return sizes.join(top, group, "left").join(first, group, "left")

@@ -143,3 +143,14 @@ def procedural_tags_final(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def tag_disagreements(spark: SparkSession, d: str) -> DataFrame:
     return classify.disagreements(procedural_tags_final(spark, d), TAGS, KEY)
+
+
+@query()
+def topic_taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    rows = turns(spark, d, "text").join(topics(spark, d), KEY)
+    return vocabulary.taxonomy(rows, "topic", "text", KEY)
+
+
+@query()
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return classify.compare_models(turns(spark, d, "text").join(topics(spark, d), KEY), "text", "topic", KEY)

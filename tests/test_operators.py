@@ -236,3 +236,31 @@ def test_chunks_make_no_difference(spark, monkeypatch):
         own = sorted((i, s) for x, i, _, s in rows if x == d)
         for (i, s), after in zip(own, [*own[1:], None]):
             assert nexts[d, i] == (f"{d}{i}" if not s else f"{d}{after[0]}" if after else None)
+
+
+def test_question_panel(spark):
+    import datetime as dt
+
+    reg = spark.createDataFrame(REGISTRY, "assembly_term string, surname_key string, full_name string, party string")
+    align = spark.createDataFrame([("AAA", "6th", "gov", None, dt.date(2016, 1, 1)), ("AAA", "6th", "opp", dt.date(2016, 1, 1), None)], "party string, assembly_term string, gov_or_opp string, effective_from date, effective_to date")
+    rows = [
+        ("d", 0, True, "(No. B/12) Mr T. Oak (First Ward)"), ("d", 1, False, "asked the minister"), ("d", 2, False, "(No. B/13) Mr Twin (Second Ward) asked about roads"), ("d", 3, False, "B/13 and B/77 will be replied by the Minister"),
+        ("e", 0, True, "(No. B/12) Mr Oak (First Ward)"),
+    ]
+    days = {"d": "TUESDAY 10 FEBRUARY 2015", "e": "FRIDAY 1 JANUARY 2016"}
+    turns = spark.createDataFrame([(*r, "SIXTH", days[r[0]]) for r in rows], "debate_id string, seq_index long, is_stage_direction boolean, text string, assembly string, sitting_date string")
+    topics = spark.createDataFrame([("d", 1, "health"), ("d", 2, "transport"), ("d", 0, "never")], "debate_id string, seq_index long, topic string")
+    panel, counts = questions.question_panel(turns, topics, reg, align)
+    got = {(r.debate_id, r.pq_num): (r.resolved_party, r.resolved_gov_opp, r.match_method, r.topic, r.transferred, r.header_seq_index) for r in panel.collect()}
+    assert got == {
+        ("d", "12"): ("AAA", "gov", "matched_1word", "health", False, 0),
+        ("d", "13"): (None, None, "ambiguous_collision", "transport", True, 2),
+        ("e", "12"): ("AAA", "opp", "matched_1word", None, False, 0),
+    }
+    assert tuple(counts.first()) == (2, 1)
+
+
+def test_taxonomy(spark):
+    df = spark.createDataFrame([(1, "a", "salt sea salt"), (2, "a", "sea"), (3, "b", "iron"), (4, None, "x")], "id int, g string, t string")
+    got = {r.g: (r.n, sorted(r.terms), r.examples) for r in vocabulary.taxonomy(df, "g", "t", ["id"]).collect()}
+    assert got == {"a": (2, ["salt", "sea"], ["salt sea salt", "sea"]), "b": (1, ["iron"], ["iron"])}
