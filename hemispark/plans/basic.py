@@ -149,9 +149,9 @@ def extract_all_explode(spark: SparkSession, d: str) -> DataFrame:
     return questions.question_numbers(turns(spark, d), prefilter="(?i)with your permission")
 
 
-@query("SELECT debate_id, seq_index, " + _STRIP.format("lower(strip_accents(speaker_raw))") + " AS name_key FROM u WHERE speaker_raw IS NOT NULL AND regexp_full_match(speaker_raw, '[\\x20-\\x7E\\x{C0}-\\x{FF}]+')")
+@query("SELECT debate_id, seq_index, " + _STRIP.format(r"lower(strip_accents(regexp_replace(speaker_raw, '\p{M}+', '', 'g')))") + " AS name_key FROM u WHERE speaker_raw IS NOT NULL")
 def accent_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return turns(spark, d, "speaker_raw").where(F.col("speaker_raw").rlike(r"^[\x20-\x7E\xC0-\xFF]+$")).select(*KEY, name_key(F.col("speaker_raw")).alias("name_key"))
+    return turns(spark, d, "speaker_raw").where(F.col("speaker_raw").isNotNull()).select(*KEY, name_key(F.col("speaker_raw")).alias("name_key"))
 
 
 _TOKENS = r"SELECT unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+|[0-9]+')) AS token FROM u WHERE NOT is_stage_direction"

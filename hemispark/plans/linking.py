@@ -10,13 +10,12 @@ from hemispark.operators import event_time, panels, questions, resolution, rules
 from hemispark.plans.base import _STRIP, KEY, chairs, debates, query, table, tagged, topics, turns
 
 _S = _STRIP.format
-_PLAIN_LABEL = r"^[\x20-\x7E\xC0-\xFF]+$"
 _PAREN = r"'\(([^)]+)\)\s*$'"
 
 # candidates of a label, in SQL
-_ALL_RESOLVED = rf"""
+_RESOLVED = rf"""
 sp AS (SELECT debate_id, seq_index, speaker_raw, assembly, sitting_date, CASE assembly WHEN 'SIXTH' THEN '6th' WHEN 'SEVENTH' THEN '7th' WHEN 'EIGHTH' THEN '8th' END AS term
-  FROM u WHERE role = 'unclassified_mp' AND NOT is_stage_direction /*filter*/),
+  FROM u WHERE role = 'unclassified_mp' AND NOT is_stage_direction),
 wd AS (SELECT *, list_filter(list_transform(list_filter(string_split_regex({_S("lower(strip_accents(" + r"regexp_replace(regexp_replace(" + _S(f"CASE WHEN regexp_extract(speaker_raw, {_PAREN}, 1) <> '' THEN regexp_extract(speaker_raw, {_PAREN}, 1) ELSE speaker_raw END") + r", '^(Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Madam|The)\s+', ''), '\p{M}+', '', 'g')" + "))")}, '[\s\p{{Z}}]+'),
   lambda x: x <> ''), lambda x: regexp_replace(x, '^\.+|\.+$', '', 'g')), lambda x: x <> '') AS w FROM sp),
 cd AS (SELECT *, CASE WHEN len(w) >= 2 THEN w[-2] || ' ' || w[-1] END AS c2, w[-1] AS c1 FROM wd),
@@ -26,7 +25,6 @@ rp AS (SELECT term, key, people, (SELECT party FROM speaker_registry r WHERE r.a
 rs AS (SELECT cd.*, coalesce(a.people, b.people) AS people, CASE WHEN a.people IS NOT NULL THEN a.party ELSE b.party END AS party, a.people IS NOT NULL AS two
   FROM cd LEFT JOIN rp a ON a.term = cd.term AND a.key = cd.c2 LEFT JOIN rp b ON b.term = cd.term AND b.key = cd.c1)
 """
-_RESOLVED = _ALL_RESOLVED.replace("/*filter*/", r"AND regexp_full_match(speaker_raw, '[\x20-\x7E\x{C0}-\x{FF}]+')")
 _METHOD = "CASE WHEN people IS NULL THEN 'no_match' WHEN people > 1 THEN 'ambiguous_collision' WHEN two THEN 'matched_2word' ELSE 'matched_1word' END"
 
 
@@ -35,22 +33,20 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
     return rows.where((F.col("role") == "unclassified_mp") & ~F.col("is_stage_direction"))
 
 
-def _resolved(spark: SparkSession, d: str, plain: bool) -> DataFrame:
-    rows = _labels(spark, d)
-    rows = rows.where(F.col("speaker_raw").rlike(_PLAIN_LABEL)) if plain else rows
-    return resolution.resolve_candidates(rows, table(spark, d, "speaker_registry"), [*KEY, "sitting_date"])
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    return resolution.resolve_candidates(_labels(spark, d), table(spark, d, "speaker_registry"), [*KEY, "sitting_date"])
 
 
 @query(
     ", x AS (SELECT 1), " + _RESOLVED.strip() + f" SELECT debate_id, seq_index, term, CASE WHEN people = 1 THEN party END AS resolved_party, {_METHOD} AS match_method FROM rs"
 )
 def candidate_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return _resolved(spark, d, True).select(*KEY, "term", "resolved_party", "match_method")
+    return _resolved(spark, d).select(*KEY, "term", "resolved_party", "match_method")
 
 
 @query(", x AS (SELECT 1), " + _RESOLVED.strip() + f" SELECT {_METHOD} AS match_method, count(*) AS n FROM rs GROUP BY 1")
 def collision_report(spark: SparkSession, d: str) -> DataFrame:
-    return _resolved(spark, d, True).groupBy("match_method").agg(F.count(F.lit(1)).alias("n"))
+    return _resolved(spark, d).groupBy("match_method").agg(F.count(F.lit(1)).alias("n"))
 
 
 _DAY = r"try_strptime(regexp_extract(sitting_date, '(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})', 0), '%d %B %Y')::DATE"
@@ -119,22 +115,22 @@ def role_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     rf"SELECT debate_id, seq_index, regexp_replace(lower(regexp_extract({_S('regexp_replace(n, ' + chr(39) + r'^(Mr\.?|Mrs\.?|Ms\.?|Dr\.?|The)\s+' + chr(39) + ', ' + chr(39) * 2 + ')')}, '(\S+)$', 1)), '^\.+|\.+$', '', 'g') AS surname"
-    rf" FROM (SELECT *, CASE WHEN regexp_extract(speaker_raw, {_PAREN}, 1) <> '' THEN regexp_extract(speaker_raw, {_PAREN}, 1) ELSE speaker_raw END AS n FROM u WHERE regexp_full_match(speaker_raw, '[\x20-\x7E\x{{C0}}-\x{{FF}}]+'))"
+    rf" FROM (SELECT *, CASE WHEN regexp_extract(speaker_raw, {_PAREN}, 1) <> '' THEN regexp_extract(speaker_raw, {_PAREN}, 1) ELSE speaker_raw END AS n FROM u WHERE speaker_raw IS NOT NULL)"
 )
 def bare_surnames(spark: SparkSession, d: str) -> DataFrame:
-    rows = turns(spark, d, "speaker_raw").where(F.col("speaker_raw").rlike(_PLAIN_LABEL))
+    rows = turns(spark, d, "speaker_raw").where(F.col("speaker_raw").isNotNull())
     return rows.select(*KEY, rules.bare_surname(F.col("speaker_raw")).alias("surname"))
 
 
 def speaker_sides(spark: SparkSession, d: str) -> DataFrame:
     """(keys, resolved_party, match_method, resolved_gov_opp) of turns of unclassified members."""
-    rows = _resolved(spark, d, False).withColumn("day", day_month_year(F.col("sitting_date")))
+    rows = _resolved(spark, d).withColumn("day", day_month_year(F.col("sitting_date")))
     sided = resolution.valid_sides(rows, table(spark, d, "party_alignment"), [*KEY, "resolved_party", "match_method"], "resolved_party", "term", "day")
     return sided.withColumnRenamed("gov_or_opp", "resolved_gov_opp")
 
 
 _SIDED = (
-    ", x AS (SELECT 1), " + _ALL_RESOLVED.strip()
+    ", x AS (SELECT 1), " + _RESOLVED.strip()
     + f""",
 pa AS (SELECT DISTINCT party, assembly_term AS term, gov_or_opp, effective_from AS f, effective_to AS t FROM party_alignment),
 pw AS (SELECT party, term, count(*) AS n FROM pa GROUP BY ALL),
