@@ -8,6 +8,7 @@ the transitions, and the Viterbi path the labels.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -153,11 +154,14 @@ _SIGNS = frozenset("0156983477@!($|][€")
 _TOKEN = re.compile(r"[\w@!($|\[\]€’'-]*[^\W\d_][\w@!($|\[\]€’'-]*")
 #: A word is at least so many times as frequent as a damaged form of it, and seen so many times.
 RATIO, SEEN = 40, 10
+#: Longer tokens are no words.
+LONGEST = 40
+_CODE = re.compile(r"\d+(?:st|nd|rd|th|e|er|ème|h|m|km|am|pm|s)|[a-z]{1,2}\d+|\d+[a-z]")
 
 
-def damage_search(token: str, lexicon: dict[str, int], depth: int = 4) -> str | None:
-    """A frequent word that recognition may have turned into ``token`` (lower case), else None."""
-    need = max(SEEN, RATIO * lexicon.get(token, 0))
+def reversals(token: str, depth: int) -> Iterator[set[str]]:
+    """What ``token`` (lower case) may have been before recognition: the forms by one reversed confusion more each time."""
+    marks = sum(c in _SIGNS for c in token)
     frontier, seen = {token}, {token}
     for _ in range(depth):
         reached = set()
@@ -168,12 +172,31 @@ def damage_search(token: str, lexicon: dict[str, int], depth: int = 4) -> str |
                 if (to := PAIRS.get(word[i : i + 2])) is not None:
                     reached.add(word[:i] + to + word[i + 2 :])
         reached -= seen
+        yield reached
+        frontier = {w for w in reached if not marks or sum(c in _SIGNS for c in w) < marks}
+        seen |= reached
+
+
+def search_depth(low: str) -> int:
+    """How many confusions are undone in a token: most in one with signs or digits, none in numbers, codes and short words."""
+    letters = sum(c.isalpha() for c in low)
+    if any(c in _SIGNS for c in low):
+        if letters < 2 and len(low) > 2 or letters < 1 or len(low) > LONGEST or _CODE.fullmatch(low):
+            return 0
+        return 4
+    return 2 if 4 <= len(low) <= LONGEST else 0
+
+
+def damage_search(token: str, lexicon: dict[str, int], depth: int = 4) -> str | None:
+    """A frequent word that recognition may have turned into ``token`` (lower case), else None.
+
+    Fewer confusions are better, then more frequent words, then the later in the alphabet.
+    """
+    need = max(SEEN, RATIO * lexicon.get(token, 0))
+    for reached in reversals(token, depth):
         hits = [w for w in reached if lexicon.get(w, 0) >= need]
         if hits:
             return max(hits, key=lambda w: (lexicon[w], w))
-        signs = [w for w in reached if sum(c in _SIGNS for c in w) < sum(c in _SIGNS for c in token)] if any(c in _SIGNS for c in token) else list(reached)
-        frontier = set(sorted(signs)[:400])
-        seen |= reached
     return None
 
 
@@ -194,14 +217,8 @@ class GlyphReader:
         return found
 
     def _look(self, low: str) -> str | None:
-        letters = sum(c.isalpha() for c in low)
-        if any(c in _SIGNS for c in low):
-            if letters < 2 and len(low) > 2 or letters < 1 or re.fullmatch(r"\d+(?:st|nd|rd|th|e|er|ème|h|m|km|am|pm|s)|[a-z]{1,2}\d+|\d+[a-z]", low):
-                return None
-            return damage_search(low, self.lexicon)
-        if len(low) < 4:
-            return None
-        return damage_search(low, self.lexicon, depth=2)
+        depth = search_depth(low)
+        return damage_search(low, self.lexicon, depth) if depth else None
 
     def scan(self, text: str) -> tuple[str, bool]:
         """Repaired text and whether a damaged word was found."""
@@ -231,6 +248,30 @@ class GlyphReader:
         return _TOKEN.sub(mend, text), hit
 
 
+class SuspectReader(GlyphReader):
+    """Collects every token that would be looked up."""
+
+    def __init__(self):
+        super().__init__({})
+        self.suspects: set[str] = set()
+
+    def _repair(self, token: str) -> str | None:
+        if search_depth(token.lower()):
+            self.suspects.add(token.lower())
+        return None
+
+
+class MappedReader(GlyphReader):
+    """Repairs by a table of corrections."""
+
+    def __init__(self, corrections: dict[str, str]):
+        super().__init__({})
+        self.corrections = corrections
+
+    def _repair(self, token: str) -> str | None:
+        return self.corrections.get(token.lower())
+
+
 def _case_like(seen: str, word: str) -> str:
     letters = [c for c in seen if c.isalpha()]
     if len(letters) > 1 and all(c.isupper() for c in letters):

@@ -7,44 +7,88 @@ headers go, cut words are joined, and misrecognised characters are read back wit
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hemispark.llm.characters import normalize_text
-from hemispark.llm.furniture import GlyphReader, join_lines
+from hemispark.llm.furniture import RATIO, SEEN, GlyphReader, MappedReader, SuspectReader, join_lines, reversals, search_depth
+from hemispark.session import checkpoint
 
-#: The lexicon keeps this many of the most frequent words: a bound on what is sent to the executors (about 4 MB).
+#: Words or corrections that are sent to the executors at once (about 4 MB); more are handled without a lexicon, in blocks.
 LEXICON_WORDS = 200_000
-#: Words seen less often are not kept; they count as seen once.
+#: Words seen less often are not kept; they count as never seen.
 LEXICON_SEEN = 5
 _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("noises", T.ArrayType(T.StringType()))])
-_readers: dict[int, GlyphReader] = {}
 
 
-def corpus_lexicon(df: DataFrame, text: str, words: int = LEXICON_WORDS, seen: int = LEXICON_SEEN) -> dict[str, int]:
-    """Counts of the most frequent words over all rows. NULL and empty texts count nothing."""
+def word_counts(df: DataFrame, text: str, seen: int = LEXICON_SEEN) -> DataFrame:
+    """(word, n) of words seen ``seen`` times or more over all rows. NULL and empty texts count nothing."""
     tokens = df.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("word")).where(F.length("word") > 1)
-    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= seen)
-    return {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()}
+    return tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= seen)
 
 
-def _repairs(lexicon) -> callable:
-    """UDF text -> (text, noises); ``lexicon`` is a broadcast variable."""
+def corrections(df: DataFrame, text: str, counts: DataFrame) -> DataFrame:
+    """(token, word): every damaged token of the texts and the word it stands for, whatever the size of the vocabulary.
+
+    Same result as :func:`hemispark.llm.furniture.damage_search` with the whole lexicon: the forms a token may come from
+    join the counts by equality.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def suspects(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            reader = SuspectReader()
+            reader.scan(join_lines(normalize_text(t or ""))[0])
+            out.append(sorted(reader.suspects))
+        return pd.Series(out)
+
+    form = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("depth", T.IntegerType())]))
+
+    @F.pandas_udf(form)
+    def forms(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: [{"word": w, "depth": k} for k, reached in enumerate(reversals(t, search_depth(t))) for w in sorted(reached) if w.isalpha()])
+
+    tokens = df.select(F.explode(suspects(F.col(text))).alias("token")).distinct()
+    own = tokens.join(counts.select(F.col("word").alias("token"), F.col("n").alias("own")), "token", "left")
+    asked = own.select("token", F.greatest(F.lit(SEEN), F.lit(RATIO) * F.coalesce("own", F.lit(0))).alias("need"), F.explode(forms("token")).alias("f")).select("token", "need", "f.*")
+    hits = asked.join(counts, "word").where(F.col("n") >= F.col("need"))
+    return hits.groupBy("token").agg(F.max_by("word", F.struct(-F.col("depth"), "n", "word")).alias("word"))
+
+
+def glyph_readers(df: DataFrame, text: str, words: int = LEXICON_WORDS) -> list:
+    """Broadcast readers that together repair every damaged word; one where the lexicon has at most ``words`` words.
+
+    Of a larger vocabulary only the corrections are needed; they are split by hash into blocks of about ``words``.
+    """
+    counts = word_counts(df, text)
+    lexicon = counts.limit(words + 1).collect()
+    send = df.sparkSession.sparkContext.broadcast
+    if len(lexicon) <= words:
+        return [send(GlyphReader({r.word: r.n for r in lexicon}))]
+    table = checkpoint(corrections(df, text, checkpoint(counts)))
+    blocks = -(-table.count() // words) or 1
+    part = F.pmod(F.xxhash64("token"), F.lit(blocks))
+    return [send(MappedReader({r.token: r.word for r in table.where(part == k).collect()})) for k in range(blocks)]
+
+
+def _repairs(readers: list) -> callable:
+    """UDF text -> (text, noises)."""
 
     @F.pandas_udf(_RESULT)
     def repair(texts: pd.Series) -> pd.DataFrame:
-        if id(lexicon) not in _readers:
-            _readers.clear()
-            _readers[id(lexicon)] = GlyphReader(lexicon.value)
-        reader, clean, found = _readers[id(lexicon)], [], []
+        clean, found = [], []
         for text in texts:
             if text is None:
                 clean.append(None)
                 found.append([])
                 continue
-            joined, header, hyphen = join_lines(normalize_text(text))
-            fixed, glyph = reader.scan(joined)
+            fixed, header, hyphen = join_lines(normalize_text(text))
+            glyph = False
+            for reader in readers:
+                fixed, hit = reader.value.scan(fixed)
+                glyph |= hit
             clean.append(fixed)
             found.append([n for n, hit in (("header", header), ("hyphen", hyphen), ("glyph", glyph)) if hit])
         return pd.DataFrame({"text": clean, "noises": found})
@@ -52,15 +96,14 @@ def _repairs(lexicon) -> callable:
     return repair
 
 
-def repair_scans(df: DataFrame, text: str, lexicon_of: DataFrame | None = None, out: str = "_repair") -> DataFrame:
+def repair_scans(df: DataFrame, text: str, lexicon_of: DataFrame | None = None, out: str = "_repair", words: int = LEXICON_WORDS) -> DataFrame:
     """Add struct ``out``: repaired text, and which of header, hyphen and glyph were found.
 
     NULL text gives NULL and no noises; '' and texts of furniture only give ''. Other columns pass through.
     The lexicon is counted over ``lexicon_of`` (default: all rows of ``df``).
     """
-    lexicon = corpus_lexicon(df if lexicon_of is None else lexicon_of, text)
-    column: Column = _repairs(df.sparkSession.sparkContext.broadcast(lexicon))(df[text])
-    return df.withColumn(out, column)
+    readers = glyph_readers(df if lexicon_of is None else lexicon_of, text, words)
+    return df.withColumn(out, _repairs(readers)(df[text]))
 
 
 def page_noise(df: DataFrame, keys: list[str], text: str) -> DataFrame:
