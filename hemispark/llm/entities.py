@@ -305,7 +305,11 @@ def _plain(labels: pd.Series, surnames: pd.Series) -> pd.Series:
 
 
 def variant_names(df: DataFrame, registry: DataFrame, keys: list[str], label: str = "speaker_raw", term: str = "assembly") -> DataFrame:
-    """(keys, member_id): rows whose label names exactly one member, but not in the plain form."""
+    """(keys, member_id): rows whose label names exactly one member, but not in the plain form.
+
+    NULL and empty labels, offices alone, labels that fit several members and rows without a known term give no rows;
+    redelivered rows count once. An empty registry gives no rows.
+    """
     linked = link_speakers(df.select(*keys, label, term), registry, label, term).where(F.col("member_id").isNotNull())
     surnames = registry_profiles(registry).groupBy("member_id").agg(F.collect_set("spelling").alias("_surnames"))
     return linked.join(F.broadcast(surnames), "member_id").where(~_plain(label, "_surnames")).select(*keys, "member_id").distinct()

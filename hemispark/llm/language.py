@@ -298,7 +298,11 @@ def language_segments(df: DataFrame, text: str, network: ByteNetwork | None, out
 
 
 def wrong_languages(df: DataFrame, keys: list[str], text: str, label: str, network: ByteNetwork | None, least: int = 40) -> DataFrame:
-    """(keys, language): the right language of each text whose label is missing or wrong, and every language of each mixed text."""
+    """(keys, language): the right language of each text whose label is missing or wrong, and every language of each mixed text.
+
+    NULL texts, texts under ``least`` characters and texts without letters give no rows; redelivered rows count once. Each
+    text is read whole, however long. Columns besides ``keys``, ``text`` and ``label`` are not read.
+    """
     rows = df.where(F.length(text) >= least).select(*keys, text, label)
     found = language_segments(rows, text, network).withColumn("_all", F.array_distinct(F.transform("segments", lambda s: s["language"])))
     wrong = (F.size("_all") > 1) | (F.col(label).isNull()) | (F.get("_all", 0) != F.col(label))

@@ -107,7 +107,7 @@ def repair_scans(df: DataFrame, text: str, lexicon_of: DataFrame | None = None,
 
 
 def page_noise(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, noise), each case once."""
+    """(keys, noise), each case once, even for redelivered rows. NULL and empty texts have none; other columns are not read."""
     found = repair_scans(df.select(*keys, text), text)
     return found.select(*keys, F.explode("_repair.noises").alias("noise")).distinct()
 
