@@ -8,6 +8,7 @@ the transitions, and the Viterbi path the labels.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,8 +153,10 @@ CONFUSIONS = {
 PAIRS = {"rn": "m", "cl": "d", "ii": "u", "vv": "w", "ri": "n", "li": "h"}
 _SIGNS = frozenset("0156983477@!($|][€")
 _TOKEN = re.compile(r"[\w@!($|\[\]€’'-]*[^\W\d_][\w@!($|\[\]€’'-]*")
-#: A word is at least so many times as frequent as a damaged form of it, and seen so many times.
-RATIO, SEEN = 40, 10
+#: A word is at least so many times as frequent as a damaged form of it that has letters only: in the given tables one form
+#: makes up to 13 % of a word (`eleveri`), while other words that confusions join lie closer together. A form with signs or
+#: digits is no word, so its word need only be as frequent. Ratios of exact counts hold at every size.
+RATIO, SIGNED_RATIO = 6, 1
 #: Longer tokens are no words.
 LONGEST = 40
 _CODE = re.compile(r"\d+(?:st|nd|rd|th|e|er|ème|h|m|km|am|pm|s)|[a-z]{1,2}\d+|\d+[a-z]")
@@ -190,14 +193,16 @@ def search_depth(low: str) -> int:
 def damage_search(token: str, lexicon: dict[str, int], depth: int = 4) -> str | None:
     """A frequent word that recognition may have turned into ``token`` (lower case), else None.
 
-    Fewer confusions are better, then more frequent words, then the later in the alphabet.
+    Fewer confusions are better, unless the word they give is so rare that it is itself a damaged form of a further one;
+    then more frequent words, then the later in the alphabet. A token that was never counted counts as seen once.
     """
-    need = max(SEEN, RATIO * lexicon.get(token, 0))
+    need, found = (RATIO if token.isalpha() else SIGNED_RATIO) * max(1, lexicon.get(token, 0)), None
     for reached in reversals(token, depth):
-        hits = [w for w in reached if lexicon.get(w, 0) >= need]
+        hits = [w for w in reached if len(w) > 1 and w.isalpha() and lexicon.get(w, 0) >= need]
         if hits:
-            return max(hits, key=lambda w: (lexicon[w], w))
-    return None
+            found = max(hits, key=lambda w: (lexicon[w], w))
+            need = RATIO * lexicon[found]
+    return found
 
 
 class GlyphReader:
@@ -237,7 +242,7 @@ class GlyphReader:
             parts = re.split(r"([’'-])", core)
             out = [self._repair(p) or p if p not in "’'-" and p else p for p in parts]
             if out == parts:
-                if not core.isalpha() and (whole := self._repair(core)):
+                if len(parts) > 1 and not core.isalpha() and (whole := self._repair(core)):
                     out = [whole]
                 else:
                     return token
@@ -248,16 +253,15 @@ class GlyphReader:
         return _TOKEN.sub(mend, text), hit
 
 
-class SuspectReader(GlyphReader):
-    """Collects every token that would be looked up."""
+class CountReader(GlyphReader):
+    """Counts every token that would be looked up."""
 
     def __init__(self):
         super().__init__({})
-        self.suspects: set[str] = set()
+        self.counts: Counter[str] = Counter()
 
     def _repair(self, token: str) -> str | None:
-        if search_depth(token.lower()):
-            self.suspects.add(token.lower())
+        self.counts[token.lower()] += 1
         return None
 
 

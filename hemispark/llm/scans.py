@@ -6,55 +6,58 @@ headers go, cut words are joined, and misrecognised characters are read back wit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hemispark.llm.characters import normalize_text
-from hemispark.llm.furniture import RATIO, SEEN, GlyphReader, MappedReader, SuspectReader, join_lines, reversals, search_depth
+from hemispark.llm.furniture import RATIO, SIGNED_RATIO, CountReader, GlyphReader, MappedReader, join_lines, reversals, search_depth
 from hemispark.session import checkpoint
 
 #: Words or corrections that are sent to the executors at once (about 4 MB); more are handled without a lexicon, in blocks.
 LEXICON_WORDS = 200_000
-#: Words seen less often are not kept; they count as never seen.
-LEXICON_SEEN = 5
 _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("noises", T.ArrayType(T.StringType()))])
 
 
-def word_counts(df: DataFrame, text: str, seen: int = LEXICON_SEEN) -> DataFrame:
-    """(word, n) of words seen ``seen`` times or more over all rows. NULL and empty texts count nothing."""
-    tokens = df.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("word")).where(F.length("word") > 1)
-    return tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= seen)
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """(word, n) of every token over all rows, as the readers look them up. NULL and empty texts count nothing."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            reader = CountReader()
+            for t in batch["t"]:
+                if t:
+                    reader.scan(join_lines(normalize_text(t))[0])
+            yield pd.DataFrame({"word": list(reader.counts), "n": list(reader.counts.values())})
+
+    return df.select(F.col(text).alias("t")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def corrections(df: DataFrame, text: str, counts: DataFrame) -> DataFrame:
-    """(token, word): every damaged token of the texts and the word it stands for, whatever the size of the vocabulary.
+def corrections(counts: DataFrame) -> DataFrame:
+    """(token, word): every damaged token of the counted texts and the word it stands for, whatever the size of the vocabulary.
 
     Same result as :func:`hemispark.llm.furniture.damage_search` with the whole lexicon: the forms a token may come from
     join the counts by equality.
     """
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def suspects(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            reader = SuspectReader()
-            reader.scan(join_lines(normalize_text(t or ""))[0])
-            out.append(sorted(reader.suspects))
-        return pd.Series(out)
-
-    form = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("depth", T.IntegerType())]))
+    form = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("ratio", T.IntegerType())]))
 
     @F.pandas_udf(form)
     def forms(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: [{"word": w, "depth": k} for k, reached in enumerate(reversals(t, search_depth(t))) for w in sorted(reached) if w.isalpha()])
+        def of(t: str) -> list[dict]:
+            ratio = RATIO if t.isalpha() else SIGNED_RATIO
+            return [{"word": w, "depth": k, "ratio": ratio} for k, reached in enumerate(reversals(t, search_depth(t))) for w in sorted(reached) if len(w) > 1 and w.isalpha()]
+
+        return tokens.map(of)
 
-    tokens = df.select(F.explode(suspects(F.col(text))).alias("token")).distinct()
-    own = tokens.join(counts.select(F.col("word").alias("token"), F.col("n").alias("own")), "token", "left")
-    asked = own.select("token", F.greatest(F.lit(SEEN), F.lit(RATIO) * F.coalesce("own", F.lit(0))).alias("need"), F.explode(forms("token")).alias("f")).select("token", "need", "f.*")
-    hits = asked.join(counts, "word").where(F.col("n") >= F.col("need"))
-    return hits.groupBy("token").agg(F.max_by("word", F.struct(-F.col("depth"), "n", "word")).alias("word"))
+    asked = counts.select(F.col("word").alias("token"), F.col("n").alias("own"), F.explode(forms("word")).alias("f")).select("token", "own", "f.*")
+    hits = asked.join(counts, "word").where(F.col("n") >= F.col("ratio") * F.col("own"))
+    level = hits.groupBy("token", "depth").agg(F.max(F.struct("n", "word")).alias("best"))
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("depth", "best"))), lambda x: x["best"])
+    chosen = level.groupBy("token").agg(steps.alias("s")).withColumn("s", F.aggregate(F.slice("s", 2, 9), F.get("s", F.lit(0)), lambda kept, x: F.when(x["n"] >= RATIO * kept["n"], x).otherwise(kept)))
+    return chosen.select("token", F.col("s.word").alias("word"))
 
 
 def glyph_readers(df: DataFrame, text: str, words: int = LEXICON_WORDS) -> list:
@@ -62,12 +65,12 @@ def glyph_readers(df: DataFrame, text: str, words: int = LEXICON_WORDS) -> list:
 
     Of a larger vocabulary only the corrections are needed; they are split by hash into blocks of about ``words``.
     """
-    counts = word_counts(df, text)
+    counts = checkpoint(word_counts(df, text))
     lexicon = counts.limit(words + 1).collect()
     send = df.sparkSession.sparkContext.broadcast
     if len(lexicon) <= words:
         return [send(GlyphReader({r.word: r.n for r in lexicon}))]
-    table = checkpoint(corrections(df, text, checkpoint(counts)))
+    table = checkpoint(corrections(counts))
     blocks = -(-table.count() // words) or 1
     part = F.pmod(F.xxhash64("token"), F.lit(blocks))
     return [send(MappedReader({r.token: r.word for r in table.where(part == k).collect()})) for k in range(blocks)]

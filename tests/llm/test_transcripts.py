@@ -83,3 +83,14 @@ def test_large_vocabularies_give_the_same_repairs(spark):
     blocks = {tuple(r) for r in scans.repair_scans(df, "text", words=300).select("debate_id", "seq_index", "_repair.text").collect()}
     assert len(scans.glyph_readers(df, "text", 300)) > 1
     assert whole == blocks
+
+
+def test_a_repeated_table_gives_the_same_repairs(spark):
+    texts = ["It is eleven now."] * 32 + ["It is eleveri now."] * 4 + ["The abattoir is shut."] * 3 + ["The abatto!r is shut.", "The aba- tto!r is shut."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    damaged = {i for i, t in enumerate(texts) if "eleveri" in t or "!" in t}
+    for times in (1, 10):
+        rows = df.crossJoin(spark.range(times).withColumnRenamed("id", "copy"))
+        for words in (scans.LEXICON_WORDS, 1):
+            found = scans.repair_scans(rows, "text", words=words).where("array_contains(_repair.noises, 'glyph')")
+            assert {(r.id, r.copy) for r in found.collect()} == {(i, k) for i in damaged for k in range(times)}
