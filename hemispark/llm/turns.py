@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 from hemispark.llm.annotations import read_row, strip_label
 
 CHUNK, MARGIN = 400, 40
-#: States of one chunk: its most frequent labels; a chunk has at most CHUNK + 2 * MARGIN labelled rows, rarely half as many labels.
-STATES = 96
+#: Weight of the common profile in each participant's, and of a transition never seen.
+COMMON, UNSEEN = 50.0, 0.1
 _READ = T.StructType(
     [
         T.StructField("noises", T.ArrayType(T.StringType())),
@@ -67,66 +68,115 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[^\W\d_]{2,}", (text or "").lower())
 
 
-def infer_labels(labels: list[str | None], texts: list[str], states: int = STATES) -> tuple[list[str | None], list[float]]:
-    """Labels with the missing ones filled by the best path, and the share of the posterior for each (1 where given).
+class Model(NamedTuple):
+    """Participants, from the most frequent label, and what is known of them; every label is a participant."""
 
-    Ties go to the label that is first in the alphabet. Without any given label all stay missing.
-    """
+    names: list[str]
+    known: np.ndarray  # labelled turns of each
+    mass: np.ndarray  # words of each
+    size: int  # words of all turns, and one
+    words: dict[str, tuple[int, np.ndarray, np.ndarray]]  # word: times seen, participants, their times
+    moves: tuple[np.ndarray, np.ndarray, np.ndarray]  # participant, next one, times; only pairs that were seen
+
+
+def learn(labels: list[str | None], texts: list[str]) -> Model:
+    """Model of the given turns, in order."""
     known = Counter(x for x in labels if x is not None)
-    names = [x for x, _ in sorted(known.items(), key=lambda kv: (-kv[1], kv[0]))[:states]]
-    if not names:
-        return list(labels), [0.0] * len(labels)
+    names = sorted(known, key=lambda x: (-known[x], x))
     index = {x: i for i, x in enumerate(names)}
-    profile, total = [Counter() for _ in names], Counter()
-    moves = np.full((len(names), len(names)), 0.1)
+    total, moves, mass = Counter(), Counter(), np.zeros(len(names))
+    seen: dict[str, Counter] = defaultdict(Counter)
     last = None
     for label, text in zip(labels, texts):
         words = _words(text)
         total.update(words)
-        at = index.get(label) if label is not None else None
+        at = None if label is None else index[label]
         if at is not None:
-            profile[at].update(words)
+            mass[at] += len(words)
+            for w in words:
+                seen[w][at] += 1
             if last is not None:
                 moves[last, at] += 1
         last = at
-    moves = np.log(moves / moves.sum(1, keepdims=True))
-    size, mass = sum(total.values()) + 1, [sum(p.values()) for p in profile]
-    seen: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for i, p in enumerate(profile):
-        for w, n in p.items():
-            seen[w].append((i, n))
-    weight = 50.0  # of the common profile in each participant's
-    base = np.array([math.log(weight / (m + weight)) for m in mass])
-    emit = np.zeros((len(labels), len(names)))
-    for t, (label, text) in enumerate(zip(labels, texts)):
-        if label is not None:
-            emit[t] = -1e6 if label in index else 0
-            if label in index:
-                emit[t, index[label]] = 0
-            continue
-        row = np.zeros(len(names))
-        for w in _words(text):
-            common = total[w] / size
+    words = {w: (n, np.array(list(seen[w]), dtype=int), np.array(list(seen[w].values()), dtype=float)) for w, n in total.items()}
+    pairs = np.array([(i, j, n) for (i, j), n in moves.items()], dtype=int).reshape(-1, 3)
+    return Model(names, np.array([known[x] for x in names], dtype=float), mass, sum(total.values()) + 1, words, (pairs[:, 0], pairs[:, 1], pairs[:, 2]))
+
+
+def infer_labels(labels: list[str | None], texts: list[str], model: Model | None = None) -> tuple[list[str | None], list[float]]:
+    """Labels with the missing ones filled by the best path, and the share of the posterior for each (1 where given).
+
+    The model is that of these turns by default; else it must know every given label. Transitions that were never seen
+    share one weight, so a step costs as much as there are participants and seen transitions, not their square.
+    Ties go to the more frequent label, then to the first in the alphabet. Without any participant all stay missing.
+    """
+    model = learn(labels, texts) if model is None else model
+    names, n = model.names, len(model.names)
+    if not names or not labels:
+        return list(labels), [1.0 if x is not None else 0.0 for x in labels]
+    index = {x: i for i, x in enumerate(names)}
+    order = np.lexsort((model.moves[0], model.moves[1]))  # by next participant, then by participant
+    source, target, times = (x[order] for x in model.moves)
+    sums = UNSEEN * n + np.bincount(source, times, n)
+    rest, step = np.log(UNSEEN / sums), np.log((UNSEEN + times) / sums[source])
+    first = np.flatnonzero(np.diff(target, prepend=-1))  # where each next participant begins
+    bounds = np.searchsorted(target, np.arange(n + 1))
+    base = np.log(COMMON / (model.mass + COMMON))
+
+    def emission(text: str) -> np.ndarray:
+        row, words = np.zeros(n), _words(text)
+        for w in words:
             row += base
-            for i, n in seen[w]:
-                row[i] += math.log((n + weight * common) / (mass[i] + weight)) - base[i] - math.log(common)
-        emit[t] = row / math.sqrt(1 + len(_words(text)))
-    start = np.log(np.array([known[x] for x in names]) / sum(known[x] for x in names))
-    best, back = start + emit[0], np.zeros(emit.shape, dtype=int)
-    forward = [best - best.max()]
-    for t in range(1, len(labels)):
-        paths = best[:, None] + moves
-        back[t] = paths.argmax(0)
-        best = paths.max(0) + emit[t]
-        top = forward[-1].max()
-        forward.append(np.log(np.exp(forward[-1] - top) @ np.exp(moves) + 1e-300) + top + emit[t])
+            if w in model.words:
+                all_times, who, own = model.words[w]
+                common = all_times / model.size
+                row[who] += np.log((own + COMMON * common) / (model.mass[who] + COMMON)) - base[who] - math.log(common)
+        return row / math.sqrt(1 + len(words))
+
+    def only(at: int, value: float = 0.0) -> np.ndarray:
+        row = np.full(n, -np.inf)
+        row[at] = value
+        return row
+
+    start = np.log(model.known / model.known.sum())
+    best, forward, back, shares = start, start, [], []
+    for t, (label, text) in enumerate(zip(labels, texts)):
+        given = None if label is None else index[label]
+        if t:
+            free = best + rest
+            top = int(free.argmax())
+            if given is not None:
+                span = slice(bounds[given], bounds[given + 1])
+                free[source[span]] = best[source[span]] + step[span]
+                back.append(top := int(free.argmax()))
+                best = only(given, free[top])
+            else:
+                came, reached = np.full(n, top), np.full(n, free[top])
+                if len(first):
+                    value = best[source] + step
+                    most = np.maximum.reduceat(value, first)
+                    hit = np.flatnonzero(value == np.repeat(most, np.diff([*first, len(value)])))[::-1]
+                    far = hit[value[hit] > reached[target[hit]]]
+                    came[target[far]], reached[target[far]] = source[far], value[far]
+                back.append(came)
+                best = reached
+                weight = np.exp(forward - forward.max())
+                forward = np.log((weight * UNSEEN / sums).sum() + np.bincount(target, weight[source] * times / sums[source], n))
+        if given is None:
+            emit = emission(text)
+            best, forward = best + emit, forward + emit
+            shares.append(np.exp(forward - forward.max()))
+        else:
+            best = best if t else only(given, best[given])
+            forward = only(given)
+            shares.append(None)
     at = int(best.argmax())
     out, sure = list(labels), [1.0] * len(labels)
     for t in range(len(labels) - 1, -1, -1):
         if labels[t] is None:
-            p = np.exp(forward[t] - forward[t].max())
-            out[t], sure[t] = names[at], float(p[at] / p.sum())
-        at = int(back[t][at])
+            out[t], sure[t] = names[at], float(shares[t][at] / shares[t].sum())
+        if t:
+            at = int(back[t - 1]) if isinstance(back[t - 1], int) else int(back[t - 1][at])
     return out, sure
 
 

@@ -1,3 +1,8 @@
+import itertools
+import math
+import random
+from collections import Counter
+
 import pytest
 
 from hemispark.llm import annotations as an
@@ -94,3 +99,38 @@ def test_a_repeated_table_gives_the_same_repairs(spark):
         for words in (scans.LEXICON_WORDS, 1):
             found = scans.repair_scans(rows, "text", words=words).where("array_contains(_repair.noises, 'glyph')")
             assert {(r.id, r.copy) for r in found.collect()} == {(i, k) for i in damaged for k in range(times)}
+
+
+def test_every_label_is_a_participant():
+    names = [f"S{i:03}" for i in range(130)]
+    labels = [x for x in names for _ in range(2)] + ["Rare", "S000", None, "S001"]
+    texts = [f"about {x.lower().translate(str.maketrans('0123456789', 'abcdefghij'))} matters" for x in names for _ in range(2)] + ["zebra crossing lights flicker " * 12, "about saaa matters", "zebra crossing lights flicker " * 12, "about saab matters"]
+    found, _ = turns.infer_labels(labels, texts)
+    assert found[-2] == "Rare"
+
+
+def test_best_path_is_that_of_all_paths():
+    rng = random.Random(4)
+    for _ in range(30):
+        labels = [rng.choice(["A", "B", "C", None]) for _ in range(8)]
+        texts = [" ".join(rng.choices(["budget", "nurses", "roads", "schools"], k=3)) for _ in labels]
+        if not any(labels):
+            continue
+        found, _ = turns.infer_labels(labels, texts)
+        known = Counter(x for x in labels if x)
+        steps = Counter(zip(labels, labels[1:]))
+        size, total = 3 * len(labels) + 1, Counter(w for t in texts for w in t.split())
+        profile = {x: Counter(w for a, t in zip(labels, texts) if a == x for w in t.split()) for x in known}
+
+        def weight(path):
+            score = math.log(known[path[0]] / sum(known.values()))
+            for a, b in zip(path, path[1:]):
+                score += math.log((steps[a, b] + 0.1) / (sum(steps[a, x] for x in known) + 0.1 * len(known)))
+            for x, a, t in zip(path, labels, texts):
+                if a is None:
+                    p = [(profile[x][w] + 50 * total[w] / size) / (profile[x].total() + 50) / (total[w] / size) for w in t.split()]
+                    score += sum(map(math.log, p)) / 2
+            return score
+
+        paths = itertools.product(*([a] if a else list(known) for a in labels))
+        assert weight(found) == pytest.approx(max(map(weight, paths)))
