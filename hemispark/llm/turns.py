@@ -6,7 +6,8 @@
    a turn by the participant's language profile, the transitions are how often one participant follows another.
 3. Consecutive turns of one speaker are merged.
 
-A debate may hold a third of all rows, so steps 2 and 3 work on chunks of ``CHUNK`` sequence numbers which
+A debate may hold a third of all rows, so profiles and transitions are counted over the whole debate by (word, label)
+and (label, label), and the paths of step 2 and the turns of step 3 are found in chunks of ``CHUNK`` sequence numbers which
 also see ``MARGIN`` numbers of their neighbours; a merged turn that crosses a chunk is given in parts.
 """
 
@@ -19,11 +20,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hemispark.llm.annotations import read_row, strip_label
+from hemispark.session import checkpoint
 
 CHUNK, MARGIN = 400, 40
 #: Weight of the common profile in each participant's, and of a transition never seen.
@@ -180,12 +182,27 @@ def infer_labels(labels: list[str | None], texts: list[str], model: Model | None
     return out, sure
 
 
-def _label_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+def _chunk_model(known: pd.DataFrame) -> Model | None:
+    """The model of a debate, of its words those that this chunk asks for. ``known``: a row of the debate, and one for each word."""
+    whole = known[known["_word"].isna()]
+    if whole.empty:
+        return None
+    r = whole.iloc[0]
+    words = {w: (n, np.asarray(i, dtype=int), np.asarray(k, dtype=float)) for w, n, i, k in known[["_word", "_total", "_who", "_times"]].itertuples(index=False) if isinstance(w, str)}
+    moves = tuple(np.asarray(r[c], dtype=int) for c in ("_from", "_to", "_moved"))
+    return Model(list(r["_names"]), np.asarray(r["_known"], dtype=float), np.asarray(r["_mass"], dtype=float), int(r["_total"]) + 1, words, moves)
+
+
+def _label_chunk(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    if pdf.empty:
+        return pd.DataFrame({c: [] for c in _CHUNK_COLUMNS})
     pdf = pdf.sort_values(["_seq", "_sub"], kind="stable").reset_index(drop=True)
     stage = pdf["_stage"].to_numpy(dtype=bool)
     speech = np.flatnonzero(~stage)
     labels = [x if isinstance(x, str) else None for x in pdf["_label"]]
-    named, sure = infer_labels([labels[i] for i in speech], [pdf["_text"][i] for i in speech])
+    named, sure = [labels[i] for i in speech], [1.0 if labels[i] is not None else 0.0 for i in speech]
+    if None in named and (model := _chunk_model(known)):
+        named, sure = infer_labels(named, [pdf["_text"][i] for i in speech], model)
     speaker: list[str | None] = [None] * len(pdf)
     share = [1.0] * len(pdf)
     for i, name, p in zip(speech, named, sure):
@@ -194,10 +211,58 @@ def _label_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
     for i in range(1, len(pdf)):
         begins[i] = stage[i] or stage[i - 1] or speaker[i] != speaker[i - 1] or speaker[i] is None
     pdf = pdf.assign(_speaker=speaker, _given=[x is not None for x in labels], _confidence=share, _begins=begins)
-    return pdf[pdf["_chunk"] == pdf["_home"]][["_debate", "_chunk", "_seq", "_sub", "_speaker", "_given", "_confidence", "_begins", "_stage", "_text"]]
+    return pdf[pdf["_chunk"] == pdf["_home"]][_CHUNK_COLUMNS]
 
 
 _CHUNK_SCHEMA = "_debate string, _chunk long, _seq long, _sub int, _speaker string, _given boolean, _confidence double, _begins boolean, _stage boolean, _text string"
+_CHUNK_COLUMNS = [c.split()[0] for c in _CHUNK_SCHEMA.split(", ")]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _word_lists(texts: pd.Series) -> pd.Series:
+    return texts.map(_words)
+
+
+def debate_models(turns: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows (_debate, _chunk, ...) of :func:`_chunk_model` for the chunks that miss labels, learned from whole debates.
+
+    ``turns``: (_debate, _seq, _sub, _stage, _label, _text); ``chunks``: the same rows with ``_chunk``, a turn in each chunk
+    that sees it, and ``_home``. Counts are grouped by (debate, word, label), never by debate alone. What a chunk gets is
+    bounded by the participants and seen transitions of its debate and by the words of its own unlabelled turns.
+    """
+    speech = turns.where(~F.col("_stage"))
+    counts = speech.select("_debate", "_label", F.explode(_word_lists("_text")).alias("_word")).groupBy("_debate", "_word", "_label").agg(F.count(F.lit(1)).alias("_n"))
+    counts = checkpoint(counts)
+    labels = speech.where(F.col("_label").isNotNull()).groupBy("_debate", "_label").agg(F.count(F.lit(1)).alias("_turns"))
+    labels = labels.join(counts.groupBy("_debate", "_label").agg(F.sum("_n").alias("_mass")), ["_debate", "_label"], "left")
+    listed = labels.groupBy("_debate").agg(F.array_sort(F.collect_list(F.struct((-F.col("_turns")).alias("order"), F.col("_label").alias("name"), F.coalesce("_mass", F.lit(0)).alias("mass")))).alias("l"))
+    listed = checkpoint(listed)
+    index = listed.select("_debate", F.posexplode("l").alias("_i", "x")).select("_debate", F.col("x.name").alias("_label"), "_i")
+
+    # one participant after another: in a chunk the row before, for its first row the last one of the chunks before
+    home = speech.withColumn("_chunk", F.floor(F.col("_seq") / CHUNK).cast("long"))
+    key = F.struct("_seq", "_sub")
+    lasts = home.groupBy("_debate", "_chunk").agg(F.max_by(F.struct("_label"), key).alias("_end"))
+    lasts = lasts.select("_debate", "_chunk", F.lag("_end").over(Window.partitionBy("_debate").orderBy("_chunk")).alias("_end"))
+    pairs = home.withColumn("_before", F.lag(F.struct("_label")).over(Window.partitionBy("_debate", "_chunk").orderBy("_seq", "_sub"))).join(lasts, ["_debate", "_chunk"])
+    pairs = pairs.select("_debate", F.coalesce("_before", "_end")["_label"].alias("_a"), F.col("_label").alias("_b")).where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    pairs = pairs.groupBy("_debate", "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    for name, at in (("_a", "_from"), ("_b", "_to")):
+        pairs = pairs.join(index.select("_debate", F.col("_label").alias(name), F.col("_i").alias(at)), ["_debate", name])
+    moves = pairs.groupBy("_debate").agg(F.array_sort(F.collect_list(F.struct("_from", "_to", "_n"))).alias("m"))
+
+    asking = chunks.where(~F.col("_stage") & F.col("_label").isNull())
+    asked = checkpoint(asking.select("_debate", "_chunk", F.explode(_word_lists("_text")).alias("_word")).distinct())
+    size = counts.groupBy("_debate").agg(F.sum("_n").alias("_total"))
+    whole = listed.join(moves, "_debate", "left").join(size, "_debate", "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<_from:int,_to:int,_n:bigint>>")))
+    whole = whole.join(asking.select("_debate", "_chunk").distinct(), "_debate").select(
+        "_debate", "_chunk", F.lit(None).cast("string").alias("_word"), F.coalesce("_total", F.lit(0)).alias("_total"), F.col("l.name").alias("_names"), F.transform("l.order", lambda x: -x).alias("_known"), F.col("l.mass").alias("_mass"),
+        F.col("m._from").alias("_from"), F.col("m._to").alias("_to"), F.col("m._n").alias("_moved"),
+    )
+    wanted = counts.join(asked.select("_debate", "_word").distinct(), ["_debate", "_word"], "left_semi").join(index, ["_debate", "_label"], "left")
+    words = wanted.groupBy("_debate", "_word").agg(F.sum("_n").alias("_total"), F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "_n")))).alias("w"))
+    words = asked.join(words, ["_debate", "_word"]).select("_debate", "_chunk", "_word", "_total", F.col("w._i").alias("_who"), F.col("w._n").alias("_times"))
+    return whole.unionByName(words, allowMissingColumns=True)
 
 
 def clean_turns(df: DataFrame, debate: str = "debate_id", order: str = "seq_index", speaker: str = "speaker_raw", text: str = "text", flag: str = "is_stage_direction") -> DataFrame:
@@ -213,14 +278,14 @@ def clean_turns(df: DataFrame, debate: str = "debate_id", order: str = "seq_inde
     rows = read_rows(rows.select("_debate", "_seq", "r.*"), "_s", "_t", "_f")
     turns = rows.select("_debate", "_seq", F.col("_read.stage").alias("_stage"), F.posexplode("_read.turns").alias("_sub", "turn"))
     turns = turns.select("_debate", "_seq", "_sub", "_stage", F.col("turn.label").alias("_label"), F.col("turn.text").alias("_text")).where(F.col("_text") != "")
+    turns = checkpoint(turns)
     home = F.floor(F.col("_seq") / CHUNK).cast("long")
     near = F.array_distinct(F.array(home, F.floor((F.col("_seq") - MARGIN) / CHUNK).cast("long"), F.floor((F.col("_seq") + MARGIN) / CHUNK).cast("long")))
     chunks = turns.withColumn("_home", home).withColumn("_chunk", F.explode(near))
-    told = chunks.groupBy("_debate", "_chunk").applyInPandas(_label_chunk, _CHUNK_SCHEMA)
+    models = debate_models(turns, chunks).withColumnsRenamed({"_debate": "_of", "_chunk": "_at"})
+    told = chunks.groupBy("_debate", "_chunk").cogroup(models.groupBy("_of", "_at")).applyInPandas(_label_chunk, _CHUNK_SCHEMA)
     # the start of a turn: the last begin in the chunk so far, else the last begin of the chunks before
     key = F.struct("_seq", "_sub")
-    from pyspark.sql import Window
-
     so_far = Window.partitionBy("_debate", "_chunk").orderBy("_seq", "_sub").rowsBetween(Window.unboundedPreceding, 0)
     told = told.withColumn("_start", F.last(F.when(F.col("_begins"), key), ignorenulls=True).over(so_far))
     ends = told.groupBy("_debate", "_chunk").agg(F.max(F.when(F.col("_begins"), key)).alias("_last"))

@@ -134,3 +134,27 @@ def test_best_path_is_that_of_all_paths():
 
         paths = itertools.product(*([a] if a else list(known) for a in labels))
         assert weight(found) == pytest.approx(max(map(weight, paths)))
+
+
+def test_participants_of_other_chunks_are_chosen(spark):
+    rows = [("d", i, ["Mr X", "Ms Y"][i % 2], "roads and bridges", False) for i in range(1300)]
+    rows[1] = ("d", 1, "Dr Z", "zebra crossing lights flicker " * 12, False)
+    rows[900] = ("d", 900, None, "zebra crossing lights flicker " * 12, False)
+    rows += [("e", 0, None, "nobody is named here", False), ("f", 0, "Mr X", "one", False), ("f", 1, None, "", False)]
+    schema = "debate_id string, seq_index long, speaker_raw string, text string, is_stage_direction boolean"
+    got = {(r.debate_id, r.turn_seq): r.speaker for r in turns.clean_turns(spark.createDataFrame(rows, schema)).collect()}
+    assert got["d", 900] == "Dr Z" and got["e", 0] is None and got["f", 0] == "Mr X"
+
+
+def test_models_of_debates_are_those_of_all_turns(spark):
+    rng = random.Random(6)
+    rows = [("d", i, 0, rng.random() < 0.1, rng.choice(["A", "B", "C", "D", None]), " ".join(rng.choices(["budget", "nurses", "roads", "schools"], k=3))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "_debate string, _seq long, _sub int, _stage boolean, _label string, _text string")
+    home = (df["_seq"] / turns.CHUNK).cast("long")
+    known = turns.debate_models(df, df.withColumn("_home", home).withColumn("_chunk", home)).toPandas()
+    want = turns.learn([r[4] for r in rows if not r[3]], [r[5] for r in rows if not r[3]])
+    for chunk in range(3):
+        got = turns._chunk_model(known[known["_chunk"] == chunk])
+        assert got.names == want.names and list(got.known) == list(want.known) and list(got.mass) == list(want.mass) and got.size == want.size
+        assert {tuple(map(int, x)) for x in zip(*got.moves)} == {tuple(map(int, x)) for x in zip(*want.moves)}
+        assert {w: (n, dict(zip(i, k))) for w, (n, i, k) in got.words.items()} == {w: (n, dict(zip(i, k))) for w, (n, i, k) in want.words.items()}
