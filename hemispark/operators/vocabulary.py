@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,18 @@ def encode(df: DataFrame, text: str, vocabulary: dict[str, int], length: int, ou
     return df.withColumn(out, F.slice(F.concat(ids, F.array_repeat(F.lit(PAD), length)), 1, length))
 
 
+def encode_large(df: DataFrame, text: str, vocabulary: DataFrame, length: int, out: str = "ids") -> DataFrame:
+    """As :func:`encode`, for a vocabulary (token, id) of some ten thousand tokens, which is sent to the executors as one dictionary."""
+    known = df.sparkSession.sparkContext.broadcast({r.token: r.id for r in vocabulary.select("token", "id").collect()})
+
+    @F.pandas_udf("array<int>")
+    def ids(rows: pd.Series) -> pd.Series:
+        get = known.value.get
+        return rows.map(lambda row: [get(t, UNK) for t in row] + [PAD] * (length - len(row)))
+
+    return df.withColumn(out, ids(F.slice(tokens(F.col(text)), 1, length)))
+
+
 def keyword_hits(c: Column, words: list[str] = KREOL_WORDS) -> Column:
     """Distinct keywords among the words of a text."""
     return F.size(F.array_intersect(F.array_distinct(tokens(c, WORD)), F.array(*map(F.lit, words))))

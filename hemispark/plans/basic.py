@@ -162,6 +162,7 @@ def tokenize_vocab(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary.build_vocabulary(turns(spark, d).where(~F.col("is_stage_direction")), "text", KEY, 500).withColumn("id", F.col("id").cast("long"))
 
 
+_ALL_TOKENS = r"SELECT unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+|[0-9]+')) AS token FROM u"
 _KNOWN = ["the", "of", "to", "a", "on", "i", "is", "and", "in", "we", "that", "for"]
 
 
@@ -174,6 +175,27 @@ def encode_pad(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*KEY, F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
+#: Sizes of the reference's configuration.
+VOCABULARY, TOKENS, NON_POLICY = 20_000, 50, 5_000
+
+
+@query(f"SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM (SELECT token, count(*) AS n FROM ({_ALL_TOKENS}) GROUP BY token HAVING count(*) >= 2 ORDER BY n DESC, token LIMIT {VOCABULARY})")
+def vocabulary_full(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary of all texts, stage directions too, as the reference builds it."""
+    return vocabulary.build_vocabulary(turns(spark, d), "text", KEY, VOCABULARY).withColumn("id", F.col("id").cast("long"))
+
+
+@query(
+    f"SELECT debate_id, seq_index, array_to_string(list_resize(list_transform(list_slice(t, 1, {TOKENS}), lambda x: coalesce(m[x], 1)), {TOKENS}, 0), ' ') AS ids"
+    " FROM (SELECT debate_id, seq_index, coalesce(regexp_extract_all(lower(text), '[a-zà-ÿ]+|[0-9]+'), []) AS t FROM u),"
+    f" (SELECT map_from_entries(list((token, id))) AS m FROM (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM (SELECT token, count(*) AS n FROM ({_ALL_TOKENS}) GROUP BY token HAVING count(*) >= 2 ORDER BY n DESC, token LIMIT {VOCABULARY})))"
+)
+def encode_vocab(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn as the ids of its first tokens in the vocabulary of :func:`vocabulary_full`."""
+    rows = vocabulary.encode_large(turns(spark, d), "text", vocabulary_full(spark, d), TOKENS)
+    return rows.select(*KEY, F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
 _HITS = f"len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]+')), {vocabulary.KREOL_WORDS}))"
 
 
@@ -279,7 +301,7 @@ def line_segmentation(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def exact_n_sample(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "utterance_policy_labels").distinct()
-    return sampling.cap_class(rows, "predicted_label", "non_policy", 100, KEY)
+    return sampling.cap_class(rows, "predicted_label", "non_policy", NON_POLICY, KEY)
 
 
 @query()

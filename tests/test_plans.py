@@ -44,6 +44,18 @@ def test_other_queries_run(spark, name):
     assert df.columns and len(df.collect()) >= 0
 
 
+def test_sizes_are_those_of_the_reference(spark):
+    large = "/root/testdata/sf0.1"
+    words = {r.token: r.id for r in catalog.queries()["vocabulary_full"](spark, large).collect()}
+    assert len(words) > 500
+    rows = {(r.debate_id, r.seq_index): r.ids.split() for r in catalog.queries()["encode_vocab"](spark, large).collect()}
+    assert {len(ids) for ids in rows.values()} == {50} and any(ids[16] != "0" for ids in rows.values()) and len({i for ids in rows.values() for i in ids}) > 500
+    labels = spark.read.parquet(f"{large}/utterance_policy_labels.parquet").distinct()
+    none = labels.where("predicted_label = 'non_policy'").count()
+    kept = catalog.queries()["exact_n_sample"](spark, large)
+    assert kept.where("predicted_label = 'non_policy'").count() == min(5000, none) > 100
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
