@@ -9,7 +9,7 @@ where it occurs. An item has leaked into a document if
 * the whole item stands in the document with at most one word in eight replaced: then some ``seed`` of consecutive
   words matches exactly, and the words on that diagonal are compared.
 
-Words that are part of set phrases (runs shared by several items) do not count towards a match on their own.
+Words that are part of set phrases (runs shared by several items of different text, over all items) do not count towards a match on their own.
 Test items are a fixed set; their size is checked before they are sent to the executors, and larger sets are handled in blocks.
 """
 
@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hemispark.llm.characters import normalize_text
+from hemispark.session import checkpoint
 
 RUN, EDIT, DEPTH = 20, 8, 32
+#: A set phrase has so many words and stands in more than so many different items.
+PHRASE, SHARED = 6, 2
 #: Test items handled in one pass over the corpus (about 100 words each: some megabytes).
 BLOCK = 5_000
 _WORDS = re.compile(r"[^\W_]+")
@@ -43,27 +46,36 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall(low if low.isascii() else low.translate(_ACCENTS))
 
 
+def phrases(words: list[str]) -> set[str]:
+    """Runs of ``PHRASE`` words."""
+    return {" ".join(words[i : i + PHRASE]) for i in range(len(words) - PHRASE + 1)}
+
+
+def set_phrases(texts: Iterable[list[str]]) -> set[str]:
+    """Runs that stand in more than ``SHARED`` different texts; copies of one text count once."""
+    counts = Counter(p for words in {tuple(t) for t in texts} for p in phrases(list(words)))
+    return {p for p, n in counts.items() if n > SHARED}
+
+
 class Items:
-    """Test items as numbers."""
+    """Test items as numbers. ``shared``: the set phrases, if the items are a part of more; else they are counted here."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.words = [], []
+    def __init__(self, items: list[tuple[int, str]], shared: set[str] | None = None):
+        self.ids, self.words, texts = [], [], []
         self.number: dict[str, int] = {}
         for item, text in sorted(items, key=lambda x: x[0]):
             words = words_of(text)
             if words:
                 self.ids.append(item)
+                texts.append(words)
                 self.words.append(np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], dtype=np.int32))
-        shared: dict[tuple, set[int]] = defaultdict(set)
-        for k, words in enumerate(self.words):
-            for i in range(len(words) - 5):
-                shared[tuple(words[i : i + 6])].add(k)
+        shared = set_phrases(texts) if shared is None else shared
         self.common = []
-        for words in self.words:
+        for words in texts:
             mark = np.zeros(len(words), dtype=bool)
-            for i in range(len(words) - 5):
-                if len(shared[tuple(words[i : i + 6])]) > 2:
-                    mark[i : i + 6] = True
+            for i in range(len(words) - PHRASE + 1):
+                if " ".join(words[i : i + PHRASE]) in shared:
+                    mark[i : i + PHRASE] = True
             self.common.append(mark)
         self.edits = [len(w) // EDIT for w in self.words]
         #: Words in a row that must match exactly if at most ``edits`` of an item's words are replaced.
@@ -173,10 +185,22 @@ def leaked_items(df: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
     count = wanted.count()
     corpus = df.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
     schema = f"_doc {df.schema[doc].dataType.simpleString()}, _item {items.schema[item].dataType.simpleString()}"
-    out = None
+    out, runs = None, None
+    if count > block:
+
+        @F.pandas_udf("struct<text:string,runs:array<string>>")
+        def folded(texts: pd.Series) -> pd.DataFrame:
+            words = [words_of(t) for t in texts]
+            return pd.DataFrame({"text": [" ".join(w) for w in words], "runs": [sorted(phrases(w)) for w in words]})
+
+        # set phrases are those of all items, whatever the blocks
+        runs = checkpoint(wanted.select("i", folded("t").alias("f")).select("i", F.col("f.text").alias("text"), F.explode("f.runs").alias("run")))
+        common = runs.select("text", "run").distinct().groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARED)
+        runs = checkpoint(runs.join(common, "run", "left_semi").select("i", "run"))
     for part in range(max(1, -(-count // block))):
         rows = wanted if count <= block else wanted.where(F.pmod(F.xxhash64("i"), F.lit(-(-count // block))) == part)
-        known = df.sparkSession.sparkContext.broadcast(Items([(r.i, r.t) for r in rows.collect()]))
+        shared = None if runs is None else {r.run for r in runs.join(rows.select("i"), "i", "left_semi").select("run").distinct().collect()}
+        known = df.sparkSession.sparkContext.broadcast(Items([(r.i, r.t) for r in rows.collect()], shared))
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for ids, texts in _shards(batches):

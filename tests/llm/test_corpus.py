@@ -55,6 +55,17 @@ def test_leak_edges(spark):
     assert len(shard.found(le.Items([(1, " ".join(WORDS + WORDS))]))) in (0, 1)
 
 
+def test_copies_of_items_leak_like_one_and_blocks_share_set_phrases(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    copied, phrase = text(60), text(24)
+    items = [(i, copied) for i in range(5)] + [(10 + i, f"{text(20)} {phrase} {text(20)}") for i in range(6)]
+    docs = spark.createDataFrame([(1, "so " + " ".join(copied.split()[10:40])), (2, "so " + phrase)], "doc_id long, text string")
+    for block in (le.BLOCK, 2):
+        got = le.leaked_items(docs, spark.createDataFrame(items, "item_id long, text string"), block=block)
+        assert {tuple(r) for r in got.collect()} == {(1, i) for i in range(5)}
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(1)
     text = rng.integers(0, 4, 400).astype(np.int32)
