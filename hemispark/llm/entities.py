@@ -275,7 +275,9 @@ def merge_and_rematch(records: DataFrame, profiles: DataFrame, rounds: int = 10)
         given = new.where((F.col("read.given") != "") & (F.col("tier") < 2)).groupBy("term", "member_id").agg(F.collect_set("read.given").alias("more"))
         known = profiles.where(~F.col("learned")).select("term", "member_id", "names", "initials").distinct()
         enriched = profiles.unionByName(learned.join(known, ["term", "member_id"])).join(given, ["term", "member_id"], "left")
-        enriched = enriched.withColumn("names", F.array_sort(F.array_union("names", F.coalesce("more", F.array().cast("array<string>"))))).drop("more")
+        enriched = enriched.withColumn("names", F.array_sort(F.array_union("names", F.coalesce("more", F.array().cast("array<string>")))))
+        letters = F.transform(F.coalesce("more", F.array().cast("array<string>")), lambda x: F.substring(x, 1, 1))
+        enriched = enriched.withColumn("initials", F.array_union("initials", letters)).drop("more")
         profiles = checkpoint(enriched)
         left = checkpoint(left.join(new.select(*columns), columns, "left_anti"))
     else:

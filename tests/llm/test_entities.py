@@ -66,3 +66,9 @@ def test_one_slip_is_the_edit_distance():
         a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 6)))
         b = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 6)))
         assert en.one_slip(a, b) == (osa(a, b) <= 1), (a, b)
+
+
+def test_initials_of_learned_names_rematch(spark):
+    registry = spark.createDataFrame([(1, "7th", "Tamarel", "Robert Tamarel", "A")], "member_id long, assembly_term string, surname_key string, full_name string, party string")
+    df = spark.createDataFrame([("Bob Tamarel", "SEVENTH"), ("Mr B. Tamarel", "SEVENTH"), ("Mr K. Tamarel", "SEVENTH")], "speaker_raw string, assembly string")
+    assert {r.speaker_raw: r.member_id for r in en.link_speakers(df, registry).collect()} == {"Bob Tamarel": 1, "Mr B. Tamarel": 1, "Mr K. Tamarel": None}
