@@ -39,6 +39,33 @@ def test_page_lines():
     assert fu.join_lines("") == ("", False, False)
 
 
+def test_headers_without_a_number():
+    title = "NATIONAL ASSEMBLY DEBATES"
+    for text in (title, f"{title}\nthe House met again", f"the House met\n{title}\nagain on Monday", f"112\n{title}"):
+        clean, header, _ = fu.join_lines(text)
+        assert header and title not in clean and "112" not in clean
+    line = "Marivelle Gazette Extra"
+    assert fu.join_lines(f"we met\n{line}\nagain")[1] is False
+    assert fu.join_lines(f"we met\n{line}\nagain", repeated={line}) == ("we met again", True, False)
+    for speech in ("Order!", "Hear, hear!", "Next question!", "Yes", "I move that the Bill be read", "pre- and post-war rules of\nthe House"):
+        assert not fu.join_lines(speech)[1] and not fu.join_lines(speech)[2]
+
+
+def test_fitted_chain_follows_its_pages():
+    pages = [(f"the {w} of the house was\n{n} | Proceedings of Sitting\nread again on the {w}- \ning day of the year.", ()) for n, w in enumerate(["open", "clos", "sitt", "read"] * 50)]
+    chain = fu.fit_chain(pages)
+    assert chain.weights.shape == fu.PRIOR.shape and (chain.weights != fu.PRIOR).any()
+    assert fu.join_lines(pages[0][0], chain) == ("the open of the house was read again on the opening day of the year.", True, True)
+    assert fu.fit_chain([]) == fu.DEFAULT
+
+
+def test_repeated_lines_of_a_debate_are_headers(spark):
+    rows = [("d", i, f"we met on day {'abcdefgh'[i]}\nMarivelle Gazette Extra\nand left") for i in range(5)] + [("e", 0, "we met on\nMarivelle Gazette Extra\nday x")]
+    df = spark.createDataFrame(rows, "debate_id string, seq_index int, text string")
+    got = scans.page_noise(df, ["debate_id", "seq_index"], "text").collect()
+    assert sorted((r.debate_id, r.seq_index) for r in got if r.noise == "header") == [("d", i) for i in range(5)]
+
+
 def test_glyphs():
     reader = fu.GlyphReader({"minister": 900, "come": 400, "the": 5000, "question": 300, "canne": 50, "came": 200, "ministcr": 3, "between": 90})
     assert reader.scan("The Ministcr will (ome befween them") == ("The Minister will come between them", True)
@@ -85,9 +112,8 @@ def test_turns_operator(spark):
 def test_large_vocabularies_give_the_same_repairs(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/utterances.parquet").select("debate_id", "seq_index", "text").distinct()
     whole = {tuple(r) for r in scans.repair_scans(df, "text").select("debate_id", "seq_index", "_repair.text").collect()}
-    blocks = {tuple(r) for r in scans.repair_scans(df, "text", words=300).select("debate_id", "seq_index", "_repair.text").collect()}
-    assert len(scans.glyph_readers(df, "text", 300)) > 1
-    assert whole == blocks
+    joined = {tuple(r) for r in scans.repair_scans(df, "text", rows=3).select("debate_id", "seq_index", "_repair.text").collect()}
+    assert whole == joined
 
 
 def test_a_repeated_table_gives_the_same_repairs(spark):
@@ -96,8 +122,8 @@ def test_a_repeated_table_gives_the_same_repairs(spark):
     damaged = {i for i, t in enumerate(texts) if "eleveri" in t or "!" in t}
     for times in (1, 10):
         rows = df.crossJoin(spark.range(times).withColumnRenamed("id", "copy"))
-        for words in (scans.LEXICON_WORDS, 1):
-            found = scans.repair_scans(rows, "text", words=words).where("array_contains(_repair.noises, 'glyph')")
+        for most in (scans.BROADCAST_ROWS, 0):
+            found = scans.repair_scans(rows, "text", rows=most).where("array_contains(_repair.noises, 'glyph')")
             assert {(r.id, r.copy) for r in found.collect()} == {(i, k) for i in damaged for k in range(times)}
 
 
