@@ -111,7 +111,7 @@ def test_tokens_are_counted(spark):
 SUBJECT_CASES = [
     ("A sum of 5 million was set aside for school buses for pupils.", {"education"}), ("Tenders for the emergency ward closed in 2015.", {"health"}), ("This is a healthy exchange; the ball is now in their court.", set()),
     ("We cannot speak of progress while potholes and the parole board are left to chance.", {"transport", "law"}), ("La parole est maintenant à l'opposition.", set()), ("Je demande une enquête sur les salles d'hôpital.", {"health"}),
-    ("Bann dimounn pe plengne toule zour lor lanbouteyaz.", {"transport"}), ("Landlord evictions before the tribunal should wait. Sports scholarships for runners came later.", {"law", "sport"}), ("", set()), (None, set()),
+    ("Bann dimounn pe plengne toule zour lor lanbouteyaz.", {"transport"}), ("Affidavits before the tribunal should wait. Sports scholarships for runners came later.", {"law", "sport"}), ("", set()), (None, set()),
 ]
 
 
@@ -121,6 +121,39 @@ def test_subjects_of_sentences(text, want):
     assert got == want
 
 
+#: Sentences written for this test, not from the tables: what the curated terms alone make of them.
+OTHER_TEXTS = [
+    ("Two thousand babies were vaccinated against measles at the clinic near the river mouth.", "health"), ("Les infirmieres de garde ont soigné quarante malades cette nuit.", "health"), ("Bann dokter lopital pe dimann plis medikaman.", "health"),
+    ("Trainee teachers will mark the examination papers of every pupil twice.", "education"), ("Les lycées manquent de professeurs depuis la rentrée.", "education"), ("Bann zelev pe pas zot legzame dan kolez.", "education"),
+    ("Value-added tax and excise made up half of what the treasury took in.", "finance"), ("La dette publique et le taux de change inquiètent.", "finance"), ("Rain spoiled the tomato harvest on eleven farms.", "agriculture"), ("Les planteurs attendent les engrais pour la canne.", "agriculture"),
+    ("Motorists queue for an hour at the roundabout before the motorway.", "transport"), ("Lotobis pa finn pase, bann bis an retar lor larout.", "transport"), ("The magistrate refused bail and the barrister appealed.", "law"), ("Avoka ti koz divan mazistra dan lakour.", "law"),
+    ("Dumping of plastic waste kills corals and turtles.", "environment"), ("Les déchets polluent la mangrove.", "environment"), ("Solar panels and wind farms feed the power grid at noon.", "energy"), ("Kouran koupe dan tou lakanpagn.", "energy"),
+    ("The goalkeeper of the national team saved two penalties in the stadium.", "sport"), ("Le championnat de natation aura lieu à la piscine.", "sport"), ("Geologists drilled isotopes out of lava for a doctoral thesis.", "science"), ("The database server went down and no password worked.", "software"),
+    ("Le logiciel et les serveurs du ministère sont en panne.", "software"), ("Tenants face eviction when rents double.", "housing"), ("Les locataires réclament des logements sociaux.", "housing"), ("I beg leave to lay the annual statement on the table.", None), ("Nous reprendrons nos travaux mardi matin.", None), ("Mo remersie tou bann kolegg.", None),
+]
+
+
+def test_curated_terms_on_other_texts():
+    right = 0
+    for text, want in OTHER_TEXTS:
+        top = {}
+        for h, n in su.sentence_hits(text):
+            for s, v in su.scores(h, n, {}).items():
+                top[s] = max(top.get(s, 0), v)
+        right += {s for s, v in top.items() if v >= su.THRESHOLD} == ({want} if want else set())
+    assert right >= 0.9 * len(OTHER_TEXTS)
+
+
+def test_phrases_are_learned_from_labels():
+    rows = [(f"the zorble of place {c} ran dry again. it was noted.", "health") for c in "abcdefghijklmnopqrst"] + [(f"a level court of opinion met {c}. it was noted.", "non_policy") for c in "abcdefghijklmnopqrst"]
+    rows += [(f"we {a} the {b} plan and went on. it was noted.", label) for a in "saw heard read left".split() for b in "first second third next last".split() for label in ("law", "sport", "finance")]
+    learned = su.learn_terms(rows)
+    assert any(s == "health" and "zorble" in t for t, s, _ in learned) and any(s is None and "court" in t for t, s, _ in learned)
+    assert not any("noted" in t for t, _, _ in learned) and su.learn_terms([]) == []
+    machine = su.Automaton(learned)
+    assert set(su.scores(*machine.hits("now the zorble is gone"), {}, machine)) == {"health"} and not su.scores(*machine.hits("a level court of opinion"), {}, machine)
+
+
 def test_subject_operator(spark):
     rows = [("d", i, t) for i, (t, _) in enumerate(SUBJECT_CASES)] + [("d", 0, SUBJECT_CASES[0][0])]
     df = spark.createDataFrame(rows, "debate_id string, seq_index int, text string").selectExpr("*", "'x' AS subject")
