@@ -3,12 +3,15 @@
 1. Each row is read on its own: marks of time, sounds and hesitations go, labels lose what is no title, name or
    office, further turns inside a text are split off, wrong stage flags are found.
 2. Missing labels come from a hidden Markov model: the states are the participants, a state emits the words of
-   a turn by the participant's language profile, the transitions are how often one participant follows another.
+   a turn by the participant's language profile, the transitions are how often one participant follows another. The best path
+   gives the labels, the forward and backward sums their posterior. A further turn inside a text whose label the debate has
+   nowhere else is held against the profile of the speaker before it: if the words are clearly the speaker's, it is a quotation.
 3. Consecutive turns of one speaker are merged.
 
-A debate may hold a third of all rows, so profiles and transitions are counted over the whole debate by (word, label)
-and (label, label), and the paths of step 2 and the turns of step 3 are found in chunks of ``CHUNK`` sequence numbers which
-also see ``MARGIN`` numbers of their neighbours; a merged turn that crosses a chunk is given in parts.
+A debate may hold a third of all rows. Profiles and transitions are counted over the whole debate by (word, label) and
+(label, label). A given label fixes the chain's state, so the path between two given labels depends on nothing else: each run of
+missing labels is solved by itself, exactly, wherever it lies. Steps 2 and 3 look for the neighbours of a run and the start of
+a turn within ``CHUNK`` sequence numbers and carry what is open from chunk to chunk.
 """
 
 from __future__ import annotations
@@ -25,9 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hemispark.llm.annotations import read_row, strip_label
-from hemispark.session import checkpoint
-
-CHUNK, MARGIN = 400, 40
+from hemispark.session import broadcast_if_small, checkpoint, salted_join
+
+CHUNK = 400
+#: Chunks without any given label after which a run is solved in pieces, and characters after which a merged turn is given in parts:
+#: both only so that no row or task grows without bound (20,000 unlabelled turns, 16 MB of text).
+RUN_CHUNKS, PART = 50, 16_000_000
+#: By so much the logarithm of a profile must exceed the common one, for the root of the words, for a quotation.
+QUOTED = 1.5
 #: Weight of the common profile in each participant's, and of a transition never seen.
 COMMON, UNSEEN = 50.0, 0.1
 _READ = T.StructType(
@@ -57,13 +65,22 @@ def read_rows(df: DataFrame, speaker: str, text: str, flag: str, out: str = "_re
 
 
 def transcript_noise(df: DataFrame, keys: list[str], speaker: str, text: str, flag: str) -> DataFrame:
-    """(keys, noise) of every row, each case once, even for redelivered rows.
+    """(keys, noise) of every row, each case once, even for redelivered rows. ``keys``: debate and sequence number.
 
-    NULL or empty texts have no noise but that of their label, NULL labels none; a NULL flag counts as false. Empty tables
-    give no rows; other columns are not read.
+    The rows are those of :func:`speaker_turns`, so that a quotation is no further turn. NULL or empty texts have no noise but
+    that of their label, NULL labels none; a NULL flag counts as false. Rows without a debate or number have no neighbours and are read by
+    themselves. Empty tables give no rows; other columns are not read.
     """
-    found = read_rows(df.select(*keys, speaker, text, flag), speaker, text, flag)
-    return found.select(*keys, F.explode("_read.noises").alias("noise")).distinct()
+    debate, order = keys
+    rows = df.select(*keys, speaker, text, flag)
+    turns = speaker_turns(rows, debate, order, speaker, text, flag)
+    first = turns.where("_sub = 0").select("_debate", "_seq", "_noises")
+    asked = turns.where("_sub > 0").groupBy("_debate", "_seq").agg(F.min("_quoted").alias("_all_quoted"))
+    asked, _ = broadcast_if_small(asked.where("_all_quoted").select("_debate", "_seq", "_all_quoted"))
+    first = first.join(asked, ["_debate", "_seq"], "left").withColumn("_noises", F.when(F.col("_all_quoted"), F.array_remove("_noises", "inline")).otherwise(F.col("_noises")))
+    first = first.select(F.col("_debate").cast(df.schema[debate].dataType).alias(debate), F.col("_seq").cast(df.schema[order].dataType).alias(order), F.explode("_noises").alias("noise"))
+    alone = read_rows(rows.where(F.col(debate).isNull() | F.col(order).isNull()), speaker, text, flag)
+    return first.unionByName(alone.select(*keys, F.explode("_read.noises").alias("noise"))).distinct()
 
 
 def _words(text: str) -> list[str]:
@@ -140,8 +157,18 @@ def infer_labels(labels: list[str | None], texts: list[str], model: Model | None
         row[at] = value
         return row
 
+    def reach(row: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums over the previous participant."""
+        weight = np.exp(row - row.max())
+        return np.log((weight * UNSEEN / sums).sum() + np.bincount(target, weight[source] * times / sums[source], n)) + row.max()
+
+    def reach_back(row: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums over the next participant."""
+        weight = np.exp(row - row.max())
+        return np.log((weight.sum() * UNSEEN + np.bincount(source, weight[target] * times, n)) / sums) + row.max()
+
     start = np.log(model.known / model.known.sum())
-    best, forward, back, shares = start, start, [], []
+    best, forward, back, forwards, emits = start, start, [], [], []
     for t, (label, text) in enumerate(zip(labels, texts)):
         given = None if label is None else index[label]
         if t:
@@ -162,26 +189,45 @@ def infer_labels(labels: list[str | None], texts: list[str], model: Model | None
                     came[target[far]], reached[target[far]] = source[far], value[far]
                 back.append(came)
                 best = reached
-                weight = np.exp(forward - forward.max())
-                forward = np.log((weight * UNSEEN / sums).sum() + np.bincount(target, weight[source] * times / sums[source], n))
+                forward = reach(forward)
         if given is None:
             emit = emission(text)
             best, forward = best + emit, forward + emit
-            shares.append(np.exp(forward - forward.max()))
+            emits.append(emit)
         else:
             best = best if t else only(given, best[given])
             forward = only(given)
-            shares.append(None)
+            emits.append(None)
+        forwards.append(forward)
     at = int(best.argmax())
-    out, sure = list(labels), [1.0] * len(labels)
+    out, sure, backward = list(labels), [1.0] * len(labels), np.zeros(n)
     for t in range(len(labels) - 1, -1, -1):
         if labels[t] is None:
-            out[t], sure[t] = names[at], float(shares[t][at] / shares[t].sum())
+            out[t] = names[at]
+            share = np.exp((both := forwards[t] + backward) - both.max())
+            sure[t] = float(share[at] / share.sum())
         if t:
+            here = emits[t] + backward if labels[t] is None else only(index[labels[t]])
+            backward = reach_back(here)
             at = int(back[t - 1]) if isinstance(back[t - 1], int) else int(back[t - 1][at])
     return out, sure
 
 
+def profile_lead(text: str, label: str, model: Model) -> float:
+    """How far the words speak for the participant's profile rather than the common one, for the root of the words."""
+    if label not in model.names:
+        return 0.0
+    at, words, lead = model.names.index(label), _words(text), 0.0
+    base = math.log(COMMON / (model.mass[at] + COMMON))
+    for w in words:
+        lead += base
+        if w in model.words:
+            all_times, who, own = model.words[w]
+            if len(hit := np.flatnonzero(who == at)):
+                lead += math.log((own[hit[0]] + COMMON * all_times / model.size) / (model.mass[at] + COMMON)) - base - math.log(all_times / model.size)
+    return lead / math.sqrt(1 + len(words))
+
+
 def _chunk_model(known: pd.DataFrame) -> Model | None:
     """The model of a debate, of its words those that this chunk asks for. ``known``: a row of the debate, and one for each word."""
     whole = known[known["_word"].isna()]
@@ -193,29 +239,29 @@ def _chunk_model(known: pd.DataFrame) -> Model | None:
     return Model(list(r["_names"]), np.asarray(r["_known"], dtype=float), np.asarray(r["_mass"], dtype=float), int(r["_total"]) + 1, words, moves)
 
 
-def _label_chunk(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    if pdf.empty:
-        return pd.DataFrame({c: [] for c in _CHUNK_COLUMNS})
-    pdf = pdf.sort_values(["_seq", "_sub"], kind="stable").reset_index(drop=True)
-    stage = pdf["_stage"].to_numpy(dtype=bool)
-    speech = np.flatnonzero(~stage)
-    labels = [x if isinstance(x, str) else None for x in pdf["_label"]]
-    named, sure = [labels[i] for i in speech], [1.0 if labels[i] is not None else 0.0 for i in speech]
-    if None in named and (model := _chunk_model(known)):
-        named, sure = infer_labels(named, [pdf["_text"][i] for i in speech], model)
-    speaker: list[str | None] = [None] * len(pdf)
-    share = [1.0] * len(pdf)
-    for i, name, p in zip(speech, named, sure):
-        speaker[i], share[i] = name, p
-    begins = [True] * len(pdf)
-    for i in range(1, len(pdf)):
-        begins[i] = stage[i] or stage[i - 1] or speaker[i] != speaker[i - 1] or speaker[i] is None
-    pdf = pdf.assign(_speaker=speaker, _given=[x is not None for x in labels], _confidence=share, _begins=begins)
-    return pdf[pdf["_chunk"] == pdf["_home"]][_CHUNK_COLUMNS]
+def _solve_runs(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """Labels of the missing turns of some runs, and whether doubtful further turns are quotations."""
+    columns = [c.split()[0] for c in _SOLVED_SCHEMA.split(", ")]
+    model = None if pdf.empty else _chunk_model(known)
+    if model is None:
+        return pd.DataFrame({c: [] for c in columns})
+    found = []
+    asked = pdf[pdf["_label"].isna()].sort_values(["_run_seq", "_run_sub", "_seq", "_sub"], na_position="first", kind="stable")
+    for _, run in asked.groupby(["_run_seq", "_run_sub"], dropna=False, sort=False):
+        ends = [x if isinstance(x, str) else None for x in (run["_before"].iloc[0], run["_after"].iloc[-1])]
+        labels = [*ends[:1]] * (ends[0] is not None) + [None] * len(run) + [*ends[1:]] * (ends[1] is not None)
+        texts = [""] * (ends[0] is not None) + list(run["_text"]) + [""] * (ends[1] is not None)
+        names, sure = infer_labels(labels, texts, model)
+        skip = int(ends[0] is not None)
+        found += [(d, q, u, names[skip + i], sure[skip + i], False) for i, (d, q, u) in enumerate(zip(run["_debate"], run["_seq"], run["_sub"]))]
+    told = {(q, u): name for _, q, u, name, _, _ in found}
+    for d, q, u, label, text, before in pdf[pdf["_label"].notna()][["_debate", "_seq", "_sub", "_label", "_text", "_before"]].itertuples(index=False):
+        speaker = told.get((q, u - 1), before)
+        found.append((d, q, u, label, 1.0, isinstance(speaker, str) and speaker != label and profile_lead(text, speaker, model) > QUOTED))
+    return pd.DataFrame(found, columns=columns)
 
 
-_CHUNK_SCHEMA = "_debate string, _chunk long, _seq long, _sub int, _speaker string, _given boolean, _confidence double, _begins boolean, _stage boolean, _text string"
-_CHUNK_COLUMNS = [c.split()[0] for c in _CHUNK_SCHEMA.split(", ")]
+_SOLVED_SCHEMA = "_debate string, _seq long, _sub int, _inferred string, _share double, _quote boolean"
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -224,11 +270,11 @@ def _word_lists(texts: pd.Series) -> pd.Series:
 
 
 def debate_models(turns: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Rows (_debate, _chunk, ...) of :func:`_chunk_model` for the chunks that miss labels, learned from whole debates.
+    """Rows (_debate, _chunk, ...) of :func:`_chunk_model` for the chunks that ask, learned from whole debates.
 
-    ``turns``: (_debate, _seq, _sub, _stage, _label, _text); ``chunks``: the same rows with ``_chunk``, a turn in each chunk
-    that sees it, and ``_home``. Counts are grouped by (debate, word, label), never by debate alone. What a chunk gets is
-    bounded by the participants and seen transitions of its debate and by the words of its own unlabelled turns.
+    ``turns``: the speech (_debate, _seq, _sub, _stage, _label, _text); ``chunks``: the turns in question with ``_chunk``. Counts are
+    grouped by (debate, word, label), never by debate alone. What a chunk gets is bounded by the participants and seen
+    transitions of its debate and by the words of its own turns in question.
     """
     speech = turns.where(~F.col("_stage"))
     counts = speech.select("_debate", "_label", F.explode(_word_lists("_text")).alias("_word")).groupBy("_debate", "_word", "_label").agg(F.count(F.lit(1)).alias("_n"))
@@ -251,7 +297,7 @@ def debate_models(turns: DataFrame, chunks: DataFrame) -> DataFrame:
         pairs = pairs.join(index.select("_debate", F.col("_label").alias(name), F.col("_i").alias(at)), ["_debate", name])
     moves = pairs.groupBy("_debate").agg(F.array_sort(F.collect_list(F.struct("_from", "_to", "_n"))).alias("m"))
 
-    asking = chunks.where(~F.col("_stage") & F.col("_label").isNull())
+    asking = chunks
     asked = checkpoint(asking.select("_debate", "_chunk", F.explode(_word_lists("_text")).alias("_word")).distinct())
     size = counts.groupBy("_debate").agg(F.sum("_n").alias("_total"))
     whole = listed.join(moves, "_debate", "left").join(size, "_debate", "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<_from:int,_to:int,_n:bigint>>")))
@@ -265,34 +311,87 @@ def debate_models(turns: DataFrame, chunks: DataFrame) -> DataFrame:
     return whole.unionByName(words, allowMissingColumns=True)
 
 
-def clean_turns(df: DataFrame, debate: str = "debate_id", order: str = "seq_index", speaker: str = "speaker_raw", text: str = "text", flag: str = "is_stage_direction") -> DataFrame:
-    """(debate_id, turn_seq, part, first_seq, last_seq, speaker, confidence, is_stage_direction, text), one row per turn.
+def _once(rows: DataFrame) -> DataFrame:
+    """Each (_debate, _seq) once, by text and label; only the few keys that came twice are grouped with their texts."""
+    twice = rows.groupBy("_debate", "_seq").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_debate", "_seq")
+    twice, _ = broadcast_if_small(twice)
+    several = rows.join(twice, ["_debate", "_seq"], "left_semi").groupBy("_debate", "_seq").agg(F.min_by(F.struct("_s", "_t", "_f"), F.struct(F.coalesce("_t", F.lit("")), F.coalesce("_s", F.lit("")))).alias("r"))
+    return rows.join(twice, ["_debate", "_seq"], "left_anti").unionByName(several.select("_debate", "_seq", "r.*"))
+
+
+def _neighbours(speech: DataFrame) -> DataFrame:
+    """Turns with ``_before`` and ``_run_*`` (the last given label so far and its place) and ``_after`` (the next given label)."""
+    given = F.when(F.col("_label").isNotNull(), F.struct("_seq", "_sub", "_label"))
+    w = Window.partitionBy("_debate", "_home").orderBy("_seq", "_sub")
+    rows = speech.withColumn("_b", F.last(given, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_a", F.first(given, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    ends = speech.groupBy("_debate", "_home").agg(F.max(given).alias("_last"), F.min(given).alias("_first"))
+    over = Window.partitionBy("_debate").orderBy("_home")
+    ends = ends.withColumn("_carried", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("_coming", F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))).select("_debate", "_home", "_carried", "_coming")
+    ends, _ = broadcast_if_small(ends)
+    rows = rows.join(ends, ["_debate", "_home"], "left").withColumn("_b", F.coalesce("_b", "_carried")).withColumn("_a", F.coalesce("_a", "_coming"))
+    return rows.select("_debate", "_seq", "_sub", "_stage", "_label", "_text", "_home", F.col("_b._label").alias("_before"), F.col("_b._seq").alias("_run_seq"), F.col("_b._sub").alias("_run_sub"), F.col("_a._label").alias("_after"))
+
 
-    ``turn_seq`` is the sequence number at which the turn starts; a turn that crosses chunks has several parts.
+def speaker_turns(df: DataFrame, debate: str = "debate_id", order: str = "seq_index", speaker: str = "speaker_raw", text: str = "text", flag: str = "is_stage_direction") -> DataFrame:
+    """(_debate, _seq, _sub, _stage, _text, _noises, _speaker, _given, _confidence, _quoted): every turn of every row, with the speaker model's labels.
+
+    ``_sub`` numbers the turns inside a row, ``_noises`` are those of the row, ``_quoted`` says that a further turn is a quotation.
     Rows without a debate or number are left out; of redelivered rows (same key) one is used, by text and label.
-    Rows whose text is empty after cleaning give no turn.
     """
     rows = df.select(F.col(debate).cast("string").alias("_debate"), F.col(order).cast("long").alias("_seq"), F.col(speaker).alias("_s"), F.col(text).alias("_t"), F.col(flag).alias("_f"))
-    rows = rows.where(F.col("_debate").isNotNull() & F.col("_seq").isNotNull())
-    rows = rows.groupBy("_debate", "_seq").agg(F.min_by(F.struct("_s", "_t", "_f"), F.struct(F.coalesce("_t", F.lit("")), F.coalesce("_s", F.lit("")))).alias("r"))
-    rows = read_rows(rows.select("_debate", "_seq", "r.*"), "_s", "_t", "_f")
-    turns = rows.select("_debate", "_seq", F.col("_read.stage").alias("_stage"), F.posexplode("_read.turns").alias("_sub", "turn"))
-    turns = turns.select("_debate", "_seq", "_sub", "_stage", F.col("turn.label").alias("_label"), F.col("turn.text").alias("_text")).where(F.col("_text") != "")
-    turns = checkpoint(turns)
-    home = F.floor(F.col("_seq") / CHUNK).cast("long")
-    near = F.array_distinct(F.array(home, F.floor((F.col("_seq") - MARGIN) / CHUNK).cast("long"), F.floor((F.col("_seq") + MARGIN) / CHUNK).cast("long")))
-    chunks = turns.withColumn("_home", home).withColumn("_chunk", F.explode(near))
-    models = debate_models(turns, chunks).withColumnsRenamed({"_debate": "_of", "_chunk": "_at"})
-    told = chunks.groupBy("_debate", "_chunk").cogroup(models.groupBy("_of", "_at")).applyInPandas(_label_chunk, _CHUNK_SCHEMA)
-    # the start of a turn: the last begin in the chunk so far, else the last begin of the chunks before
+    rows = _once(rows.where(F.col("_debate").isNotNull() & F.col("_seq").isNotNull()))
+    rows = read_rows(rows, "_s", "_t", "_f")
+    turns = rows.select("_debate", "_seq", F.col("_read.stage").alias("_stage"), F.col("_read.noises").alias("_noises"), F.posexplode("_read.turns").alias("_sub", "turn"))
+    turns = checkpoint(turns.select("_debate", "_seq", "_sub", "_stage", F.col("turn.label").alias("_label"), F.col("turn.text").alias("_text"), "_noises"))
+    speech = turns.where(~F.col("_stage") & (F.col("_text") != "")).withColumn("_home", F.floor(F.col("_seq") / CHUNK).cast("long")).drop("_noises")
+    # labels that only stand inside texts are doubtful
+    own = speech.groupBy("_debate", "_label").agg(F.max((F.col("_sub") == 0).cast("int")).alias("_own")).where("_own = 0 AND _label IS NOT NULL").select("_debate", "_label", F.lit(True).alias("_doubt"))
+    placed = salted_join(_neighbours(speech), own, ["_debate", "_label"], "left")
+    asked = placed.where(F.col("_label").isNull() | (F.col("_doubt") & (F.col("_sub") > 0))).drop("_doubt")
+    begun = F.coalesce(F.floor(F.col("_run_seq") / CHUNK), F.lit(-1)).cast("long")
+    asked = asked.withColumn("_chunk", begun * 1_000_000 + F.floor((F.col("_home") - begun) / RUN_CHUNKS).cast("long"))
+    asked = checkpoint(asked.drop("_home"))
+    models = debate_models(speech, asked).withColumnsRenamed({"_debate": "_of", "_chunk": "_at"})
+    solved = checkpoint(asked.groupBy("_debate", "_chunk").cogroup(models.groupBy("_of", "_at")).applyInPandas(_solve_runs, _SOLVED_SCHEMA))
+    solved, _ = broadcast_if_small(solved)
+    told = turns.join(solved, ["_debate", "_seq", "_sub"], "left")
+    return told.select(
+        "_debate", "_seq", "_sub", "_stage", "_text", "_noises", F.when(~F.col("_stage"), F.coalesce("_label", "_inferred")).alias("_speaker"), (F.col("_stage") | F.col("_label").isNotNull()).alias("_given"),
+        F.when(F.col("_stage") | F.col("_label").isNotNull(), 1.0).otherwise(F.coalesce("_share", F.lit(0.0))).alias("_confidence"), F.coalesce("_quote", F.lit(False)).alias("_quoted"),
+    )
+
+
+def clean_turns(df: DataFrame, debate: str = "debate_id", order: str = "seq_index", speaker: str = "speaker_raw", text: str = "text", flag: str = "is_stage_direction") -> DataFrame:
+    """(debate_id, turn_seq, turn_sub, part, first_seq, last_seq, speaker, confidence, is_stage_direction, text), one row per turn.
+
+    ``turn_seq`` is the sequence number at which the turn starts; only a turn of more than ``PART`` characters has several parts.
+    Rows without a debate or number are left out; of redelivered rows (same key) one is used, by text and label.
+    Rows whose text is empty after cleaning give no turn. Turns without a known speaker are never merged.
+    """
+    told = speaker_turns(df, debate, order, speaker, text, flag).where(F.col("_text") != "").drop("_noises")
+    told = told.withColumn("_chunk", F.floor(F.col("_seq") / CHUNK).cast("long"))
     key = F.struct("_seq", "_sub")
-    so_far = Window.partitionBy("_debate", "_chunk").orderBy("_seq", "_sub").rowsBetween(Window.unboundedPreceding, 0)
-    told = told.withColumn("_start", F.last(F.when(F.col("_begins"), key), ignorenulls=True).over(so_far))
-    ends = told.groupBy("_debate", "_chunk").agg(F.max(F.when(F.col("_begins"), key)).alias("_last"))
+    w = Window.partitionBy("_debate", "_chunk").orderBy("_seq", "_sub")
+    # a turn begins where the speaker changes; the first row of a chunk looks at the last one of the chunks before
+    state = F.struct("_stage", "_speaker")
+    told = told.withColumn("_last", F.lag(state).over(w))
+    # in a window whose last row is the chunk's, the state and, later, the start that the next chunk carries on
+    lasts = told.groupBy("_debate", "_chunk").agg(F.max_by(state, key).alias("_end"), F.min(key).alias("_head"))
+    lasts = lasts.select("_debate", "_chunk", "_head", F.lag("_end").over(Window.partitionBy("_debate").orderBy("_chunk")).alias("_carried_state"))
+    lasts, _ = broadcast_if_small(lasts)
+    told = told.join(lasts, ["_debate", "_chunk"], "left").withColumn("_last", F.when(key == F.col("_head"), F.col("_carried_state")).otherwise(F.col("_last")))
+    begins = F.col("_last").isNull() | F.col("_stage") | F.col("_last._stage") | F.col("_speaker").isNull() | F.col("_last._speaker").isNull() | (F.col("_speaker") != F.col("_last._speaker"))
+    begins = begins & ~(F.col("_quoted") & (F.col("_sub") > 0))
+    told = told.withColumn("_begin", F.when(begins, key)).drop("_carried_state", "_head", "_last")
+    told = told.withColumn("_start", F.last("_begin", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = told.groupBy("_debate", "_chunk").agg(F.max("_begin").alias("_newest"))
     before = Window.partitionBy("_debate").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).select("_debate", "_chunk", "_carried")
+    ends = ends.select("_debate", "_chunk", F.last("_newest", ignorenulls=True).over(before).alias("_carried"))
+    ends, _ = broadcast_if_small(ends)
     told = told.join(ends, ["_debate", "_chunk"], "left").withColumn("_start", F.coalesce("_start", "_carried", key))
-    merged = told.groupBy("_debate", "_start", "_chunk").agg(
+    pieces = told.groupBy("_debate", "_chunk", "_start").agg(
         F.min("_seq").alias("first_seq"),
         F.max("_seq").alias("last_seq"),
         F.min_by("_speaker", key).alias("speaker"),
@@ -300,8 +399,18 @@ def clean_turns(df: DataFrame, debate: str = "debate_id", order: str = "seq_inde
         F.min_by("_stage", key).alias("is_stage_direction"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_seq", "_sub", "_text"))), lambda x: x["_text"]), " ").alias("text"),
     )
-    part = F.col("_chunk") - F.floor(F.col("_start._seq") / CHUNK)
+    # the pieces of a turn that crosses chunks; most turns have one
+    crossing = (F.floor(F.col("first_seq") / CHUNK) != F.floor(F.col("_start._seq") / CHUNK)) | F.col("_open")
+    newest = F.max("_start").over(Window.partitionBy("_debate", "_chunk"))
+    pieces = pieces.withColumn("_open", F.col("_start") == newest)
+    whole = pieces.where(~crossing).withColumn("part", F.lit(0).cast("long"))
+    size = F.coalesce(F.sum(F.length("text").cast("long")).over(Window.partitionBy("_debate", "_start").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = pieces.where(crossing).withColumn("part", F.floor(size / PART).cast("long")).groupBy("_debate", "_start", "part").agg(
+        F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.min_by("speaker", "_chunk").alias("speaker"), F.min("confidence").alias("confidence"), F.min_by("is_stage_direction", "_chunk").alias("is_stage_direction"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "text"))), lambda x: x["text"]), " ").alias("text"),
+    )
+    merged = whole.select(joined.columns).unionByName(joined)
     return merged.select(
-        F.col("_debate").alias("debate_id"), F.col("_start._seq").alias("turn_seq"), F.col("_start._sub").alias("turn_sub"), part.alias("part"),
+        F.col("_debate").alias("debate_id"), F.col("_start._seq").alias("turn_seq"), F.col("_start._sub").alias("turn_sub"), "part",
         "first_seq", "last_seq", "speaker", "confidence", "is_stage_direction", "text",
     )

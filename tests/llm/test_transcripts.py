@@ -105,10 +105,74 @@ def test_turns_operator(spark):
     d = [r for r in got if r.debate_id == "d"]
     assert len([r for r in d if r.first_seq < 899]) == 899
     long = [r for r in d if r.turn_seq == 899]
-    assert [r.part for r in long] == [0, 1] and long[0].first_seq == 899 and long[-1].last_seq == 1399
+    assert [r.part for r in long] == [0] and (long[0].first_seq, long[0].last_seq) == (899, 1399) and long[0].text.count("long turn") == 500
     assert turns.clean_turns(df.limit(0)).count() == 0
 
 
+def _brute_turns(rows):
+    """Sequential reading of one debate: labels over the whole debate at once, then merging."""
+    read = []
+    for seq, s, t, f in rows:
+        r = an.read_row(s, t, f)
+        read += [(seq, 0, r.stage, an.strip_label(s)[0], r.text), *((seq, i + 1, False, an.strip_label(a)[0], b) for i, (a, b) in enumerate(zip(r.labels, r.texts)))]
+    read = [r for r in read if r[4] != ""]
+    speech = [r for r in read if not r[2]]
+    names, sure = turns.infer_labels([r[3] for r in speech], [r[4] for r in speech])
+    told = {r[:2]: n for r, n in zip(speech, names)}
+    out = []
+    for seq, sub, stage, _, text in read:
+        who = None if stage else told[seq, sub]
+        if out and not stage and not out[-1][3] and who is not None and who == out[-1][2]:
+            out[-1][4] += " " + text
+        else:
+            out.append([seq, sub, who, stage, text])
+    return [tuple(x) for x in out], {r[:2]: p for r, p in zip(speech, sure)}
+
+
+def test_turns_of_a_debate_are_those_of_one_reading(spark, monkeypatch):
+    rng = random.Random(5)
+    words = {w: [w + x for x in "abcdefgh"] for w in "kmprt"}
+    rows, who = [], "k"
+    for seq in range(160):
+        who = rng.choice("kmprt") if rng.random() < 0.6 else who
+        label = None if rng.random() < 0.35 or 60 <= seq < 95 else f"Mr {who.upper()}a"
+        rows.append((seq, label, " ".join(rng.choice(words[who]) for _ in range(6)) + ".", False))
+    want, sure = _brute_turns(rows)
+    df = spark.createDataFrame([("d", *r) for r in rows], "debate_id string, seq_index long, speaker_raw string, text string, is_stage_direction boolean")
+    for chunk in (400, 16):
+        monkeypatch.setattr(turns, "CHUNK", chunk)
+        got = turns.clean_turns(df).orderBy("turn_seq", "turn_sub").collect()
+        assert [(r.turn_seq, r.turn_sub, r.speaker, r.is_stage_direction, r.text) for r in got] == want
+        shares = {(r._seq, r._sub): r._confidence for r in turns.speaker_turns(df).collect()}
+        assert shares == pytest.approx(sure)
+
+
+def test_posterior_by_enumeration():
+    labels, texts = ["A", "B", "A", None, None, "B", None], ["aa bb", "cc dd", "aa bb", "cc aa", "bb dd", "cc dd", "aa dd"]
+    model = turns.learn(labels, texts)
+    moves = dict(zip(zip(*(x.tolist() for x in model.moves[:2])), model.moves[2].tolist()))
+    total = {i: turns.UNSEEN * 2 + sum(n for (a, _), n in moves.items() if a == i) for i in (0, 1)}
+    emit = [[0, 0] if x is not None else [turns.profile_lead(t, n, model) for n in model.names] for x, t in zip(labels, texts)]
+    paths = {}
+    for path in itertools.product((0, 1), repeat=len(labels)):
+        if all(x is None or model.names[k] == x for x, k in zip(labels, path)):
+            paths[path] = math.log(model.known[path[0]] / sum(model.known)) + sum(math.log((turns.UNSEEN + moves.get((a, b), 0)) / total[a]) for a, b in zip(path, path[1:])) + sum(e[k] for e, k in zip(emit, path))
+    found, sure = turns.infer_labels(labels, texts)
+    best = max(paths, key=paths.get)
+    assert found == [model.names[k] for k in best]
+    whole = sum(math.exp(v) for v in paths.values())
+    for t in range(len(labels)):
+        assert sure[t] == pytest.approx(sum(math.exp(v) for p, v in paths.items() if p[t] == best[t]) / whole)
+
+
+def test_a_quotation_is_no_turn(spark):
+    rows = [("d", i, ("Mr Oak", "Ms Fir")[i % 2], ("taxes budget deficit revenue treasury", "hospital nurses wards doctors clinics")[i % 2] + ".", False) for i in range(60)]
+    rows += [("d", 60, "Mr Oak", "I say this. – Mr Elm: taxes budget deficit revenue treasury taxes budget deficit revenue treasury.", False), ("d", 61, "Ms Fir", "no. – Mr Yew: never heard anywhere before.", False)]
+    df = spark.createDataFrame(rows, "debate_id string, seq_index long, speaker_raw string, text string, is_stage_direction boolean")
+    got = {(r.seq_index, r.noise) for r in turns.transcript_noise(df, ["debate_id", "seq_index"], "speaker_raw", "text", "is_stage_direction").collect()}
+    assert got == {(61, "inline")}
+
+
 def test_large_vocabularies_give_the_same_repairs(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/utterances.parquet").select("debate_id", "seq_index", "text").distinct()
     whole = {tuple(r) for r in scans.repair_scans(df, "text").select("debate_id", "seq_index", "_repair.text").collect()}
