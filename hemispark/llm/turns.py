@@ -35,7 +35,7 @@ CHUNK = 400
 #: both only so that no row or task grows without bound (20,000 unlabelled turns, 16 MB of text).
 RUN_CHUNKS, PART = 50, 16_000_000
 #: By so much the logarithm of a profile must exceed the common one, for the root of the words, for a quotation.
-QUOTED = 1.5
+QUOTED = 4.0
 #: Weight of the common profile in each participant's, and of a transition never seen.
 COMMON, UNSEEN = 50.0, 0.1
 _READ = T.StructType(
