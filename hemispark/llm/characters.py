@@ -1,7 +1,7 @@
 """One consistent form for text that looks the same but differs in its characters.
 
 A transducer is compiled once from a conflict-checked mapping of grapheme clusters. It reads a string from
-left to right in one pass, takes the longest known cluster (base letter with its marks), and writes the plain form:
+left to right in one pass, character by character, goes on while a longer cluster (a letter with its marks) is known, and writes the plain form:
 
 * full-width, mathematical and ligature forms become the ordinary letters,
 * accents are joined with their letter,
@@ -74,35 +74,39 @@ def _forms() -> Iterable[tuple[str, str]]:
             if char in KEEP_FORMS or plain == char or not unicodedata.name(char, ""):
                 continue
             if plain.isascii() and (low != 0x2100 or len(plain) == 1) or 0xFF01 <= code:
-                yield char, plain
+                yield char, "" if plain in INVISIBLE else "".join(LOOKALIKE.get(c, c) for c in plain)
 
 
 @lru_cache(1)
-def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, str], dict[int, str | None]]:
-    """Compatibility forms, look-alikes, clusters with marks (Latin result), single characters outside words."""
-    forms = {k: v for k, v in compile_mapping(_forms()).items() if k not in LOOKALIKE}
-    alike = compile_mapping([*LOOKALIKE.items(), *LOOSE.items()])
+def _transducer() -> tuple[dict[str, str], dict[tuple[str, str], str], dict[int, str | None]]:
+    """Entries (a character and the plain form it begins), steps (a plain form and a mark, and the joined form), and single characters outside words.
+
+    All pairs, of every kind, go through one conflict check. The steps go on from joined forms too, so that a letter takes all
+    marks it can be joined with: the longest known cluster wins.
+    """
+    entries = compile_mapping([*_forms(), *LOOKALIKE.items(), *((c, " ") for c in SPACES), *((c, "-") for c in HYPHENS), *((c, "") for c in INVISIBLE)])
+    if entries.keys() & LOOSE.keys():
+        raise ValueError(f"conflict: {entries.keys() & LOOSE.keys()}")
+    entries |= LOOSE  # these hold inside Latin words only
     marks = [chr(c) for c in range(0x300, 0x370)]
-    clusters = []
-    latin = [chr(c) for c in range(0x41, 0x7B) if chr(c).isalpha()]
-    for source, base in [*((c, c) for c in latin), *alike.items(), *((k, v) for k, v in forms.items() if len(v) == 1 and v.isalpha())]:
-        for mark in marks:
-            joined = unicodedata.normalize("NFC", base + mark)
-            if len(joined) == 1:
-                clusters.append((source + mark, joined))
-    outside: dict[int, str | None] = {ord(c): " " for c in SPACES} | {ord(c): "-" for c in HYPHENS}
-    outside |= {ord(k): v for k, v in forms.items()} | {ord(c): None for c in INVISIBLE}
-    return forms, alike, compile_mapping(clusters), outside
+    pairs, frontier = [], {*filter(str.isalpha, map(chr, range(0x41, 0x7B))), *(c for v in entries.values() for c in v if c.isalpha())}
+    seen: set[str] = set()
+    while frontier:
+        seen |= frontier
+        joined = [(base + mark, whole) for base in sorted(frontier) for mark in marks if len(whole := unicodedata.normalize("NFC", base + mark)) == 1]
+        pairs += joined
+        frontier = {whole for _, whole in joined} - seen
+    steps = {(k[0], k[1]): v for k, v in compile_mapping(pairs).items()}
+    outside = {ord(k): v or None for k, v in entries.items() if k not in LOOKALIKE and k not in LOOSE}
+    return entries, steps, outside
 
 
 _WORD = regex.compile(rf"[\p{{L}}\p{{M}}\p{{Nl}}{INVISIBLE}]+")
-_CLUSTER = regex.compile(r"\P{M}\p{M}*|\p{M}+")
 _PICTURE = regex.compile(r"\p{Extended_Pictographic}")
 
 
 def _ranges() -> str:
-    forms, alike, _, outside = _tables()
-    codes = sorted({*outside, *map(ord, alike), *map(ord, forms), *range(0x300, 0x370)})
+    codes = sorted({*map(ord, _transducer()[0]), *range(0x300, 0x370)})
     runs: list[list[int]] = []
     for code in codes:
         if runs and code == runs[-1][1] + 1:
@@ -124,30 +128,32 @@ def _trigger_py() -> re.Pattern:
 
 
 def _word(word: str) -> str:
-    forms, alike, clusters, _ = _tables()
+    entries, steps, outside = _transducer()
     bare = word if word.isascii() else "".join(c for c in word if c not in INVISIBLE)
     if not bare:
-        return "" if not word else bare
-    kinds = {"form" if c in forms else "alike" if c in alike else "mark" if unicodedata.combining(c) else "latin" if c.isascii() or "LATIN" in unicodedata.name(c, "") else "other" for c in bare}
-    reads_latin = bool(kinds & {"latin", "form"})
-    if not reads_latin and ("other" in kinds or any(c in LOOSE for c in bare)):
+        return ""
+    kinds = {"alike" if c in LOOKALIKE or c in LOOSE else "form" if c in entries else "mark" if unicodedata.combining(c) else "latin" if c.isascii() or "LATIN" in unicodedata.name(c, "") else "other" for c in bare}
+    if not kinds & {"latin", "form"} and ("other" in kinds or any(c in LOOSE for c in bare)):
         return word  # wholly and openly in another script
-    out = []
-    for cluster in _CLUSTER.findall(bare):
-        if (hit := clusters.get(cluster)) is not None:
-            out.append(hit)
+    out, at, left = [], "", False
+    for c in bare:
+        if (joined := steps.get((at, c))) is not None:
+            at = joined  # the cluster goes on
             continue
-        base = cluster[0]
-        plain = forms.get(base) or alike.get(base) or base
-        out.append(unicodedata.normalize("NFC", plain + cluster[1:]) if len(cluster) > 1 else plain)
-    return "".join(out)
+        out.append(at)
+        plain = entries.get(c, c)
+        left |= "\u0300" <= c <= "\u036f"
+        out.append(plain[:-1])
+        at = plain[-1:]
+    out.append(at)
+    return unicodedata.normalize("NFC", "".join(out)) if left else "".join(out)
 
 
 def normalize_text(text: str | None) -> str | None:
     """The consistent form of one string."""
     if text is None or text.isascii() or not _trigger_py().search(text):
         return text
-    outside = _tables()[3]
+    outside = _transducer()[2]
     out, at = [], 0
     for m in _WORD.finditer(text):
         gap = text[at : m.start()]
@@ -184,6 +190,7 @@ def visually_identical(df: DataFrame, keys: list[str], columns: list[str]) -> Da
     Values without any character of the mapping are skipped before they reach Python; such values are in their
     final form. Empty tables give no rows; columns besides ``keys`` and ``columns`` are never read.
     """
+    # only values with more bytes than characters can hold any other character
     long = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), df[c].alias("_value")) for c in columns))).alias("_pair"))
-    long = long.select(*keys, F.col("_pair.field").alias("field"), F.col("_pair._value").alias("_value")).where(F.col("_value").rlike(trigger()))
+    long = long.select(*keys, F.col("_pair.field").alias("field"), F.col("_pair._value").alias("_value")).where((F.octet_length("_value") > F.length("_value")) & F.col("_value").rlike(trigger()))
     return long.where(F.col("_value") != normalized("_value")).select(*keys, "field").distinct()

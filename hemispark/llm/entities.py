@@ -8,7 +8,8 @@ letters for cut-off names),
 compared, and merged where exactly one profile fits; a merge unions the record's spelling, given name and
 initial into the profile. Richer profiles re-enter blocking with the records that are left, until a round merges nothing.
 
-The registry is small and its size is checked; records and profiles are joined by equality of block keys, never all with all.
+Records and profiles are joined by equality of block keys, never all with all; profiles are broadcast where a count proves them few, else the
+join is salted, so that a registry may have any size.
 """
 
 from __future__ import annotations
@@ -46,8 +47,6 @@ _OFFICE = re.compile(
 )
 #: A surname given in part has at least so many letters.
 CUT = 3
-#: Registry rows that may be broadcast; a larger registry would be refused.
-REGISTRY_ROWS = 200_000
 _RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("surname", "given", "initial", "cut", "shape")])
 
 
@@ -191,8 +190,6 @@ def registry_profiles(registry: DataFrame, member: str = "member_id", term: str
     Duplicates and rows for several parties are one member; the full name may be written surname first.
     Rows without a member, term or name are left out.
     """
-    if registry.limit(REGISTRY_ROWS + 1).count() > REGISTRY_ROWS:
-        raise ValueError(f"a registry of more than {REGISTRY_ROWS} rows needs another blocking")
 
     @F.pandas_udf(T.StructType([T.StructField("spelling", T.StringType()), T.StructField("names", T.ArrayType(T.StringType()))]))
     def split(keys: pd.Series, fulls: pd.Series) -> pd.DataFrame:
@@ -241,7 +238,7 @@ def match_once(records: DataFrame, profiles: DataFrame) -> DataFrame:
     """(record columns, member_id, tier, read) of the records that fit exactly one member at their best tier."""
     columns = ["term", "surname", "given", "initial", "cut", "shape"]
     blocks = records.withColumn("block", F.explode(_record_blocks("surname", "given", "initial", "cut", "shape")))
-    pairs = blocks.join(F.broadcast(_blocked(profiles)), ["term", "block"]).select(*columns, "member_id", "spelling", "learned", F.col("names"), F.col("initials")).distinct()
+    pairs = salted_join(blocks, _blocked(profiles), ["term", "block"]).select(*columns, "member_id", "spelling", "learned", F.col("names"), F.col("initials")).distinct()
     pairs = pairs.withColumn("fit", _compare("surname", "given", "initial", "cut", "shape", "spelling", "learned", "names", "initials")).where("fit.tier is not null")
     best = pairs.groupBy(*columns, "member_id").agg(F.min(F.struct("fit.tier", "fit.surname", "fit.given", "fit.initial")).alias("fit"))
     # all members at the best tier: few, as members of a term that share a block
@@ -314,4 +311,4 @@ def variant_names(df: DataFrame, registry: DataFrame, keys: list[str], label: st
     """
     linked = link_speakers(df.select(*keys, label, term), registry, label, term).where(F.col("member_id").isNotNull())
     surnames = registry_profiles(registry).groupBy("member_id").agg(F.collect_set("spelling").alias("_surnames"))
-    return linked.join(F.broadcast(surnames), "member_id").where(~_plain(label, "_surnames")).select(*keys, "member_id").distinct()
+    return salted_join(linked, surnames, ["member_id"]).where(~_plain(label, "_surnames")).select(*keys, "member_id").distinct()

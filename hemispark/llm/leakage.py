@@ -135,40 +135,52 @@ class Shard:
     def _keys(rows: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(rows.astype(">i4")).view([("", "V" + str(4 * rows.shape[1]))]).reshape(-1) if rows.size else np.zeros(0, dtype="V4")
 
-    def matches(self, words: np.ndarray, seed: int) -> Iterator[tuple[int, int, int]]:
-        """(position in the item, position in the shard, verbatim length up to DEPTH) of every suffix of an item."""
+    def matches(self, words: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, positions): every diagonal of the shard on which ``seed`` consecutive words of an item match, as the place at which the
+        item would start, and a position on it. Found by binary search of every suffix of the item."""
+        none = np.zeros(0, dtype=np.int64)
         if len(words) < seed or not len(self.array):
-            return
+            return none, none
         order = _bytes(self.rows)
         queries = _bytes(self._keys(_first_words(words.astype(np.int32), np.arange(len(words) - seed + 1), self.seed)))
         low, high = np.searchsorted(order, queries, "left"), np.searchsorted(order, queries, "right")
-        for i in np.flatnonzero(high > low):
-            for at in self.array[low[i] : high[i]]:
-                stop = min(len(words) - i, len(self.text) - at)
-                same = self.text[at : at + stop] == words[i : i + stop]
-                length = stop if same.all() else int(same.argmin())
-                if length >= seed:
-                    yield int(i), int(at), length
-
-    def found(self, items: Items) -> set[tuple[int, int]]:
-        """(document number, item number) of every leak."""
-        out: set[tuple[int, int]] = set()
+        counts = high - low
+        if not counts.any():
+            return none, none
+        offsets = np.repeat(np.arange(len(words) - seed + 1), counts)
+        at = self.array[np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        starts, first = np.unique(at - offsets, return_index=True)
+        return starts, at[first]
+
+    def found(self, items: Items, rows: int = 20_000) -> dict[tuple[int, int], tuple[int, int]]:
+        """(document number, item number) of every leak: (words, word of the document) of its longest verbatim match, the first of equal ones."""
+        out: dict[tuple[int, int], tuple[int, int]] = {}
         for k, words in enumerate(items.words):
-            edits, seed = items.edits[k], items.seeds[k]
-            diagonals = set()
-            for i, at, length in self.matches(words, seed):
-                document = int(np.searchsorted(self.begins, at, "right")) - 1
-                if (document, k) in out:
-                    continue
-                if length >= RUN and not items.common[k][i : i + length].all():
-                    out.add((document, k))
-                    continue
-                start = at - i
-                if start in diagonals or start < self.begins[document] or start + len(words) >= self.begins[document + 1]:
-                    continue
-                diagonals.add(start)
-                if int((self.text[start : start + len(words)] != words).sum()) <= edits:
-                    out.add((document, k))
+            all_starts, all_positions = self.matches(words, items.seeds[k])
+            for a in range(0, len(all_starts), rows):
+                starts, positions = all_starts[a : a + rows], all_positions[a : a + rows]
+                document = np.searchsorted(self.begins, positions, "right") - 1
+                begin, end = self.begins[document], self.begins[document + 1] - 1
+                size = len(starts)
+                run, longest, stop, misses = (np.zeros(size, dtype=np.int64) for _ in range(4))
+                own, leaked = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+                inside = (starts >= begin) & (starts + len(words) <= end)
+                for j, word in enumerate(words):  # all diagonals at once
+                    at = starts + j
+                    same = (at >= begin) & (at < end)
+                    same[same] = self.text[at[same]] == word
+                    run = (run + 1) * same
+                    own = (own | (not items.common[k][j])) & same
+                    leaked |= (run >= RUN) & own
+                    misses += ~same
+                    better = run > longest
+                    longest[better], stop[better] = run[better], at[better] + 1
+                leaked |= inside & (misses <= items.edits[k])
+                for i in np.flatnonzero(leaked):
+                    key, new = (int(document[i]), k), (int(longest[i]), int(stop[i] - longest[i] - begin[i]))
+                    old = out.get(key)
+                    if old is None or (-new[0], new[1]) < (-old[0], old[1]):
+                        out[key] = new
         return out
 
 
@@ -177,14 +189,14 @@ def _bytes(keys: np.ndarray) -> np.ndarray:
 
 
 def leaked_items(df: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc, item) of every document that holds a test item, each once.
+    """(doc, item, words, at) of every document that holds a test item, each once: the longest verbatim match and where it begins.
 
     NULL or empty texts never match. Repeated documents and items each give their own row (once per pair of ids).
     """
     wanted = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t")).distinct()
     count = wanted.count()
     corpus = df.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
-    schema = f"_doc {df.schema[doc].dataType.simpleString()}, _item {items.schema[item].dataType.simpleString()}"
+    schema = f"_doc {df.schema[doc].dataType.simpleString()}, _item {items.schema[item].dataType.simpleString()}, words int, at int"
     out, runs = None, None
     if count > block:
 
@@ -205,12 +217,13 @@ def leaked_items(df: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for ids, texts in _shards(batches):
                 shard = Shard([words_of(t) for t in texts], known.value)
-                pairs = sorted(shard.found(known.value))
-                yield pd.DataFrame({"_doc": [ids[d] for d, _ in pairs], "_item": [known.value.ids[k] for _, k in pairs]})
+                pairs = sorted(shard.found(known.value).items())
+                yield pd.DataFrame({"_doc": [ids[d] for (d, _), _ in pairs], "_item": [known.value.ids[k] for (_, k), _ in pairs], "words": [w for _, (w, _) in pairs], "at": [p for _, (_, p) in pairs]})
 
         found = corpus.mapInPandas(search, schema)
         out = found if out is None else out.unionByName(found)
-    return out.select(F.col("_doc").alias(doc), F.col("_item").alias(item)).distinct()
+    best = out.groupBy("_doc", "_item").agg(F.max(F.struct("words", (-F.col("at")).alias("at"))).alias("m"))
+    return best.select(F.col("_doc").alias(doc), F.col("_item").alias(item), F.col("m.words").alias("words"), (-F.col("m.at")).alias("at"))
 
 
 def _shards(batches: Iterator[pd.DataFrame], characters: int = 8_000_000) -> Iterator[tuple[list, list[str]]]:

@@ -13,10 +13,12 @@ from collections.abc import Callable
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hemispark.session import checkpoint
+
 #: Vocabulary file of a public tokenizer (ranks of a byte-level BPE), and its word pattern.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -79,29 +81,27 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: float | str | None
     """(doc_id, source, tokens, repeats) of every document that is used at least once.
 
     ``sized``: (doc_id, source, tokens); ``targets``: (source, target_share, max_repeats), one row per source (of
-    repeated rows one is used). ``total``: tokens of the mix; by default the largest at which all shares are reached, ``"size"`` for
-    as many as the target sources have, where sources at their cap fall short. Documents of sources without a target are left out. Repeated document ids are documents of their own.
+    repeated rows one is used). ``total``: tokens of the mix, by default as many as the target sources have; sources whose share needs more
+    than their repetitions are clamped and the others take what they lack. ``"reachable"`` is the largest total at which nothing has to
+    be clamped. Documents of sources without a target are left out. Repeated document ids are documents of their own.
     """
-    wanted = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.where("source is not null").orderBy("source", "target_share", "max_repeats").collect()}
+    wanted = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.where("source is not null").orderBy("source", "target_share", "max_repeats").collect()}  # the targets themselves
     marked = sized.where(F.col("source").isin(list(wanted))) if wanted else sized.limit(0)
     marked = marked.withColumn("_bin", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(bins)).cast("int"))
-    sums: dict[str, dict[int, int]] = {}
-    for r in marked.groupBy("source", "_bin").agg(F.sum("tokens").alias("n")).collect():  # sources x bins rows
-        sums.setdefault(r.source, {})[r._bin] = r.n
-    sizes = {s: sum(b.values()) for s, b in sums.items()}
-    given = water_fill(sizes, wanted, reachable_total(sizes, wanted) if total is None else None if total == "size" else float(total))
-    repeats = F.lit(0)
+    sums = checkpoint(marked.groupBy("source", "_bin").agg(F.sum("tokens").alias("n")))
+    sizes = {r.source: r.n or 0 for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # one row for each target
+    given = water_fill(sizes, wanted, reachable_total(sizes, wanted) if total == "reachable" else None if total is None else float(total))
+    parts = []
     for s, tokens in sorted(given.items()):
         whole = int(tokens // sizes[s] + 1e-9)
-        left, cut = tokens - whole * sizes[s], 0
-        for b in sorted(sums[s]):
-            if left < sums[s][b] / 2:
-                break
-            left -= sums[s][b]
-            cut = b + 1
-        whole, cut = (whole, 0) if whole >= wanted[s][1] else (whole, cut)
-        repeats = F.when(F.col("source") == s, F.lit(whole) + (F.col("_bin") < cut).cast("int")).otherwise(repeats)
-    return marked.withColumn("repeats", repeats).where("repeats > 0").drop("_bin")
+        parts.append((s, whole, -1.0 if whole >= wanted[s][1] else tokens - whole * sizes[s]))
+    plan = sized.sparkSession.createDataFrame(parts, "source string, _whole int, _rest double")
+    # a further time: the bins before the first one whose larger half no longer fits
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    full = F.when(before + F.col("n") / 2 > F.col("_rest"), F.col("_bin"))
+    cuts = sums.join(F.broadcast(plan), "source").withColumn("_full", full).groupBy("source", "_whole").agg(F.coalesce(F.min("_full"), F.lit(bins)).alias("_cut"))
+    used = marked.join(F.broadcast(cuts), "source").withColumn("repeats", F.col("_whole") + (F.col("_bin") < F.col("_cut")).cast("int"))  # one row for each target
+    return used.where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
 
 
 def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

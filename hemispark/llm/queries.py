@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hemispark.llm import characters, entities, language, leakage, mixing, scans, subjects, toxicity, turns
 from hemispark.llm.tables import table
+from hemispark.session import checkpoint
 
 KEY = ["debate_id", "seq_index"]
 LANGUAGES = ["en", "fr", "mfe"]
@@ -20,7 +21,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "utterances").select(*KEY, "speaker_raw", "text")
-    return characters.normalize_columns(rows, ["speaker_raw", "text"]).select(*KEY, "speaker_raw_norm", "text_norm").distinct()
+    once = rows.dropDuplicates([*KEY, "speaker_raw", "text"])
+    return characters.normalize_columns(once, ["speaker_raw", "text"]).select(*KEY, "speaker_raw_norm", "text_norm")
 
 
 def _network(utterances: DataFrame) -> language.ByteNetwork | None:
@@ -77,6 +79,11 @@ def p7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_matches(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the longest verbatim match in words and the word of the document at which it begins."""
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
@@ -84,20 +91,25 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.without_leaks(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), p8_found(spark, sf_dir))
 
 
-def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = mixing.counted(table(spark, sf_dir, "documents")).persist()
-    return mixing.mix_sources(sized, table(spark, sf_dir, "mix_targets"))
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpoint(mixing.counted(table(spark, sf_dir, "documents")))
 
 
-def p9_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = mixing.counted(table(spark, sf_dir, "documents")).persist()
-    return mixing.mix_shares(mixing.mix_sources(sized, table(spark, sf_dir, "mix_targets"), total="size"), table(spark, sf_dir, "mix_targets"))
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the sources have: small sources are clamped at their caps, the others take what they lack."""
+    return mixing.mix_sources(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the largest mix in which every source reaches its target."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.mix_shares(mixing.mix_sources(_sized(spark, sf_dir), targets, total="reachable"), targets)
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit_examples(documents, table(spark, sf_dir, "doc_labels"))
@@ -106,12 +118,12 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, threshold = _scored(spark, sf_dir)
-    return scored.where(F.col("abuse.score") >= threshold).select("doc_id").distinct()
+    return scored.where(F.col("abuse.vote") >= threshold).select("doc_id").distinct()
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _ = _scored(spark, sf_dir)
-    return scored.select("doc_id", "abuse.score", "abuse.evidence")
+    return scored.select("doc_id", "abuse.score", "abuse.vote", "abuse.evidence")
 
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_forms, p2_found, p2_segments, p3_found, p3_links, p5_found, p5_shares, p6_found, p6_turns,
-            p7_found, p7_paragraphs, p8_found, p8_clean, p9_mix, p9_filled, p9_shares, p10_found, p10_scores, p10_rates,
+            p7_found, p7_paragraphs, p8_found, p8_clean, p8_matches, p9_mix, p9_shares, p9_reachable, p10_found, p10_scores, p10_rates,
         )
     }
 

@@ -2,8 +2,8 @@
 
 Examples are the passages (sentences) of a bounded sample of labelled documents. A passage of a new document is compared
 with them by exact TF-IDF cosine through an inverted index in blocks: a block's largest weight of each
-feature bounds the cosine of all passages in the block, and a block whose bound is below the least similarity that
-still counts is never read. The nearest passages vote, weighted by similarity; a document has the score of its worst passage.
+feature bounds the cosine of all passages in the block; where a passage has many postings, those of blocks whose bound is below the
+least similarity that still counts are skipped. The nearest passages vote, weighted by similarity; a document has the score of its worst passage.
 
 A label belongs to a whole document, most of whose passages are harmless. So each passage of a document labelled as
 abusive is first rated by the passages of *other* documents; only those rated abusive stay examples of it.
@@ -135,6 +135,7 @@ class BlockIndex:
         block = row // BLOCK
         heads = np.flatnonzero((np.diff(feature, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
         self.block_of, self.block_top = block[heads], np.maximum.reduceat(weight, heads) if len(heads) else weight
+        self.heads_at, self.postings_read = np.append(heads, len(feature)), 0
         head_at = np.searchsorted(heads, at)
         head_mine = np.searchsorted(feature[heads] * (self.blocks + 1) + self.block_of, np.arange(len(number)) * (self.blocks + 1) + self.abusive_blocks)
         #: of each feature: idf, range of its postings, range of its blocks, largest weight
@@ -220,6 +221,7 @@ class BlockIndex:
         none = np.zeros(0, dtype=np.int64)
         if not heavy:
             return none, none.astype(float)
+        near = None
         if sum(b - a for _, _, a, b, _, _ in heavy) > DENSE:
             bounds = np.zeros(blocks)
             for _, v, _, _, a, b in known:
@@ -228,8 +230,17 @@ class BlockIndex:
             if not near.any():
                 return none, none.astype(float)
         dots = np.zeros(count)
-        for _, v, a, b, _, _ in heavy:
-            dots[self.rows[a:b]] += v * self.weights[a:b]
+        for _, v, a, b, c, d in heavy:
+            if near is None:
+                dots[self.rows[a:b]] += v * self.weights[a:b]
+                self.postings_read += b - a
+                continue
+            # only the postings of near blocks
+            kept = np.flatnonzero(near[self.block_of[c:d]]) + c
+            sizes = np.minimum(self.heads_at[kept + 1], b) - self.heads_at[kept]
+            ids = np.repeat(self.heads_at[kept] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            dots[self.rows[ids]] += v * self.weights[ids]
+            self.postings_read += len(ids)
         hits = np.flatnonzero(dots >= max(1e-9, FLOOR - total - 1e-6))
         sums = dots[hits]
         for _, v, a, b, _, _ in known[:light]:
@@ -247,8 +258,27 @@ class BlockIndex:
         return sum(w * float(labels[i]) for (i, _), w in zip(near, weights)) / (sum(weights) + PRIOR) if weights else 0.0
 
 
+def isotonic(rows: list[tuple[float, int]]) -> list[tuple[float, float]]:
+    """(least vote, share) steps of the growing function that fits (vote, label) best in squares."""
+    pools: list[list[float]] = []  # least vote, labels, rows
+    for vote, label in sorted(rows):
+        if pools and pools[-1][0] == vote:
+            pools[-1][1] += label
+            pools[-1][2] += 1
+        else:
+            pools.append([vote, float(label), 1.0])
+    out: list[list[float]] = []
+    for pool in pools:
+        out.append(pool)
+        while len(out) > 1 and out[-2][1] * out[-1][2] >= out[-1][1] * out[-2][2]:
+            last = out.pop()
+            out[-1][1] += last[1]
+            out[-1][2] += last[2]
+    return [(v, y / n) for v, y, n in out]
+
+
 class ExampleModel:
-    """Examples, their index and the calibrated threshold."""
+    """Examples, their index, the threshold of votes and their calibration."""
 
     def __init__(self, documents: list[tuple[int, str, int]]):
         owners: dict[tuple[str, ...], dict[int, int]] = {}
@@ -257,7 +287,7 @@ class ExampleModel:
                 owners.setdefault(tuple(tokens(p)), {})[doc] = label
         owners = {k: v for k, v in owners.items() if k}
         keys = sorted(owners)
-        self.threshold, self.index = 0.5, None
+        self.threshold, self.index, self.steps = 0.5, None, []
         self._known: dict[str, float] = {}
         if not keys or not any(label for _, _, label in documents):
             return
@@ -297,6 +327,12 @@ class ExampleModel:
         good = [t for t, r in zip(grid, rated) if r >= max(rated) - 0.005]
         self.threshold = good[len(good) // 2]
         self.rated = max(rated)
+        self.steps = isotonic(rows)
+
+    def calibrated(self, vote: float) -> float:
+        """Share of abusive documents among those with such a vote, by the held-out votes of the examples."""
+        at = np.searchsorted([v for v, _ in self.steps], vote, "right") - 1
+        return self.steps[at][1] if at >= 0 else 0.0
 
     def score_passage(self, passage: str, skip: frozenset[int] | set[int] = frozenset(), repeats: bool = True) -> tuple[float, list[tuple[int, float]]]:
         index = self.index
@@ -327,7 +363,7 @@ class ExampleModel:
         return worst
 
 
-_SCORE = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.StringType())])
+_SCORE = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("vote", T.DoubleType()), T.StructField("evidence", T.StringType())])
 
 
 def fit_examples(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> ExampleModel:
@@ -340,18 +376,20 @@ def fit_examples(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: st
 
 
 def abuse_scores(df: DataFrame, model: ExampleModel, text: str = "text", out: str = "abuse") -> DataFrame:
-    """Add struct ``out`` (score, evidence). NULL and empty texts have score 0 and no evidence."""
+    """Add struct ``out`` (score, vote, evidence): the vote on the worst passage, the calibrated share of abusive documents among such
+    votes, and the passage. NULL and empty texts have vote 0 and no evidence."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(_SCORE)
     def rate(texts: pd.Series) -> pd.DataFrame:
         known = shared.value
-        return pd.DataFrame([known.score(t) for t in texts], columns=["score", "evidence"])
+        rated = [known.score(t) for t in texts]
+        return pd.DataFrame({"score": [known.calibrated(v) for v, _ in rated], "vote": [v for v, _ in rated], "evidence": [e for _, e in rated]})
 
     return df.withColumn(out, rate(df[text]))
 
 
 def abuse_rates(scored: DataFrame, threshold: float, source: str = "source", out: str = "abuse") -> DataFrame:
     """(source, documents, abusive, rate); NULL is a source of its own."""
-    counts = scored.groupBy(source).agg(F.count(F.lit(1)).alias("documents"), F.sum((F.col(f"{out}.score") >= threshold).cast("int")).alias("abusive"))
+    counts = scored.groupBy(source).agg(F.count(F.lit(1)).alias("documents"), F.sum((F.col(f"{out}.vote") >= threshold).cast("int")).alias("abusive"))
     return counts.withColumn("rate", F.col("abusive") / F.col("documents"))

@@ -38,11 +38,17 @@ def test_leaks_are_those_of_brute_force(spark):
             noise[5:5] = piece
         docs.append((k, "  ".join(noise).upper().replace("  ", ",\n" if k % 2 else " ")))
     docs += [(200, None), (201, ""), (3, docs[3][1])]
-    got = {tuple(r) for r in le.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    rows = le.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    text, item = {k: le.words_of(t) for k, t in docs}, {k: le.words_of(t) for k, t in items}
+    for r in rows:
+        d, w = text[r.doc_id], item[r.item_id]
+        runs = [(next((n for n in range(min(len(d) - a, len(w) - b)) if d[a + n] != w[b + n]), min(len(d) - a, len(w) - b)), -a) for a in range(len(d)) for b in range(len(w))]
+        assert (r.words, -r.at) == max(runs)
     want = {(k, i) for k, t in docs if t for i, x in items if brute(t, x)}
     assert want and got == want
     few = le.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=7)
-    assert {tuple(r) for r in few.collect()} == want
+    assert {(r.doc_id, r.item_id) for r in few.collect()} == want
 
 
 def test_leak_edges(spark):
@@ -63,7 +69,7 @@ def test_copies_of_items_leak_like_one_and_blocks_share_set_phrases(spark):
     docs = spark.createDataFrame([(1, "so " + " ".join(copied.split()[10:40])), (2, "so " + phrase)], "doc_id long, text string")
     for block in (le.BLOCK, 2):
         got = le.leaked_items(docs, spark.createDataFrame(items, "item_id long, text string"), block=block)
-        assert {tuple(r) for r in got.collect()} == {(1, i) for i in range(5)}
+        assert {(r.doc_id, r.item_id, r.words, r.at) for r in got.collect()} == {(1, i, 30, 1) for i in range(5)}
 
 
 def test_suffix_array_is_sorted():
@@ -94,14 +100,26 @@ def test_mix(spark):
     rows = [(i, "a" if i % 3 else "b", 50 + i % 7) for i in range(6000)] + [(9000, None, 5), (9001, "other", 5)]
     sized = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2), ("b", 0.5, 2), ("gone", 0.0, 1)], "source string, target_share double, max_repeats int")
-    mixed = mi.mix_sources(sized, targets)
+    mixed = mi.mix_sources(sized, targets, "reachable")
     share = {r.source: r.actual_share for r in mi.mix_shares(mixed, targets).collect()}
     assert share["a"] == pytest.approx(0.5, abs=0.002) and share["b"] == pytest.approx(0.5, abs=0.002) and share["gone"] == 0
-    assert {r.doc_id: r.repeats for r in mixed.collect()} == {r.doc_id: r.repeats for r in mi.mix_sources(sized.repartition(5), targets).collect()}
+    assert {r.doc_id: r.repeats for r in mixed.collect()} == {r.doc_id: r.repeats for r in mi.mix_sources(sized.repartition(5), targets, "reachable").collect()}
     assert mixed.selectExpr("max(repeats) FILTER (WHERE source = 'a') AS a", "max(repeats) FILTER (WHERE source = 'b') AS b").first().asDict() == {"a": 1, "b": 2}
     assert mi.mix_sources(sized.limit(0), targets).count() == 0 and mi.mix_sources(sized, targets.limit(0)).count() == 0
 
 
+def test_clamped_mix(spark):
+    rows = [(i, "small", 10) for i in range(50)] + [(1000 + i, "large", 10) for i in range(4000)] + [(9000 + i, "third", 10) for i in range(1000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("small", 0.5, 3), ("large", 0.3, 4), ("third", 0.2, 4)], "source string, target_share double, max_repeats int")
+    mixed = mi.mix_sources(sized, targets)
+    total = 10 * len(rows)
+    want = mi.water_fill({"small": 500, "large": 40_000, "third": 10_000}, {"small": (0.5, 3), "large": (0.3, 4), "third": (0.2, 4)})
+    assert want["small"] == 1500 and sum(want.values()) == pytest.approx(total) and want["large"] / want["third"] == pytest.approx(1.5)
+    got = {r.source: (r.tokens, r.most_repeats) for r in mi.mix_shares(mixed, targets).collect()}
+    assert got["small"] == (1500, 3) and all(got[s][0] == pytest.approx(want[s], rel=0.01) for s in want) and all(m <= 4 for _, m in got.values())
+
+
 def test_tokens_are_counted(spark):
     df = spark.createDataFrame([(1, "hello world, 12 mètres", "s"), (2, None, "s"), (3, "", "s"), (4, "x", None)], "doc_id long, text string, source string")
     got = {r.doc_id: r.tokens for r in mi.counted(df).collect()}
@@ -181,13 +199,36 @@ def labelled():
     return rows
 
 
+def test_blocks_are_skipped_without_loss(monkeypatch):
+    rng = random.Random(8)
+    examples = [(to.features([f"w{rng.randrange(40)}" for _ in range(4)]), float(i % 7 == 0)) for i in range(600)]
+    monkeypatch.setattr(to, "BLOCK", 4)
+    monkeypatch.setattr(to, "DENSE", 50)
+    skipping = to.BlockIndex(examples)
+    monkeypatch.setattr(to, "DENSE", 10**9)
+    reading = to.BlockIndex(examples)
+    for _ in range(20):
+        query = reading.query(to.features([f"w{rng.randrange(40)}" for _ in range(5)]))
+        monkeypatch.setattr(to, "DENSE", 10**9)
+        want = reading.nearest(*query)
+        monkeypatch.setattr(to, "DENSE", 50)
+        got = skipping.nearest(*query)
+        assert [i for i, _ in got] == [i for i, _ in want] and [d for _, d in got] == pytest.approx([d for _, d in want])
+    assert 0 < skipping.postings_read < 0.8 * reading.postings_read
+
+
+def test_isotonic():
+    assert to.isotonic([]) == []
+    assert to.isotonic([(0.1, 0), (0.2, 1), (0.3, 0), (0.4, 1), (0.4, 1)]) == [(0.1, 0.0), (0.2, 0.5), (0.4, 1.0)]
+
+
 def test_abuse_scores(spark):
     rows = labelled()
     docs = spark.createDataFrame([(i, t, "s" if i % 2 else None) for i, t, _ in rows] + [(500, None, "s"), (501, "", "s"), (502, "Fine words. SHUT YOUR FILTHY MOUTH, YOU M O R O N!", "s"), (503, PLAIN[3].format(3), "s"), (504, "plain words " * 50_000, "s")], "doc_id long, text string, source string")
     labels = spark.createDataFrame([(i, t, None) for i, _, t in rows] + [(0, 1, 3), (1, None, 1), (1, 0, 2)], "doc_id long, toxic int, quality int")
     model = to.fit_examples(docs, labels)
     scored = to.abuse_scores(docs, model)
-    got = {r.doc_id: r.abuse.score >= model.threshold for r in scored.collect()}
+    got = {r.doc_id: r.abuse.vote >= model.threshold for r in scored.collect()}
     assert {i for i, _, t in rows if t} == {i for i, hit in got.items() if hit and i < 500}
     assert (got[500], got[501], got[502], got[503], got[504]) == (False, False, True, False, False)
     rates = {r.source: (r.documents, r.abusive) for r in to.abuse_rates(scored, model.threshold).collect()}
