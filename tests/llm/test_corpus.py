@@ -203,7 +203,7 @@ def test_blocks_are_skipped_without_loss(monkeypatch):
     rng = random.Random(8)
     examples = [(to.features([f"w{rng.randrange(40)}" for _ in range(4)]), float(i % 7 == 0)) for i in range(600)]
     monkeypatch.setattr(to, "BLOCK", 4)
-    monkeypatch.setattr(to, "DENSE", 50)
+    monkeypatch.setattr(to, "DENSE", 1)
     skipping = to.BlockIndex(examples)
     monkeypatch.setattr(to, "DENSE", 10**9)
     reading = to.BlockIndex(examples)
@@ -211,7 +211,7 @@ def test_blocks_are_skipped_without_loss(monkeypatch):
         query = reading.query(to.features([f"w{rng.randrange(40)}" for _ in range(5)]))
         monkeypatch.setattr(to, "DENSE", 10**9)
         want = reading.nearest(*query)
-        monkeypatch.setattr(to, "DENSE", 50)
+        monkeypatch.setattr(to, "DENSE", 1)
         got = skipping.nearest(*query)
         assert [i for i, _ in got] == [i for i, _ in want] and [d for _, d in got] == pytest.approx([d for _, d in want])
     assert 0 < skipping.postings_read < 0.8 * reading.postings_read
