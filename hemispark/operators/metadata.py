@@ -15,6 +15,13 @@ OFFICER_ROLES = [
     "Serjeant-at-Arms", "Deputy Speaker", "Madam Speaker", "Mr Speaker",
 ]
 FILE_NAME = r"(?i)Debate_No\.?_?(\d+[A-Za-z]?)_of_(\d{4})(?:_\((REVISED|UNREVISED)\))?"
+HEADER_PARTS = [
+    ("debate_number", r"No\.\s*(\d+[A-Za-z]?)\s*of\s*(\d{4})", 0), ("assembly", r"([A-Z]+)\s+NATIONAL ASSEMBLY", 1), ("session", r"([A-Z]+)\s+SESSION", 1),
+    ("sitting_date", r"([A-Z]+DAY)\s+(\d{1,2})\s+([A-Z]+)\s+(\d{4})", 0),
+]
+SIR = r"^Sir\s+"
+STABLE_NUMBER, STABLE_TITLE = r"\b\d+\b", r"(?i)^(hon\.?\s+)?(mrs?\.?\s+|ms\.?\s+|dr\.?\s+)?"
+LAST_WORD, OUTER_DOTS = r"(\S+)$", r"^\.+|\.+$"
 FRONT_PAGES, CABINET_LENGTH, OFFICERS_LENGTH, ENTRY_LENGTH = 8, 4000, 2000, 200
 # End of fixed values.
 
@@ -26,19 +33,14 @@ def file_parts(name: Column) -> list[Column]:
 
 def header_parts(text: Column) -> list[Column]:
     """Debate number, assembly, session and sitting date as printed on the title page."""
-    return [
-        extract(text, r"No\.\s*(\d+[A-Za-z]?)\s*of\s*(\d{4})", 0).alias("debate_number"),
-        extract(text, r"([A-Z]+)\s+NATIONAL ASSEMBLY", 1).alias("assembly"),
-        extract(text, r"([A-Z]+)\s+SESSION", 1).alias("session"),
-        extract(text, r"([A-Z]+DAY)\s+(\d{1,2})\s+([A-Z]+)\s+(\d{4})", 0).alias("sitting_date"),
-    ]
+    return [extract(text, pattern, group).alias(name) for name, pattern, group in HEADER_PARTS]
 
 
 def surname_of(name: Column) -> Column:
     """Surname of a printed name: no honorifics, no letters after the comma, last word; NULL if nothing is left."""
-    bare = F.regexp_replace(strip(F.regexp_replace(name, HONORIFIC, "")), r"^Sir\s+", "")
-    last = F.regexp_extract(strip(F.split(bare, ",")[0]), r"(\S+)$", 1)
-    return F.nullif(F.regexp_replace(F.lower(last), r"^\.+|\.+$", ""), F.lit(""))
+    bare = F.regexp_replace(strip(F.regexp_replace(name, HONORIFIC, "")), SIR, "")
+    last = F.regexp_extract(strip(F.split(bare, ",")[0]), LAST_WORD, 1)
+    return F.nullif(F.regexp_replace(F.lower(last), OUTER_DOTS, ""), F.lit(""))
 
 
 def front_matter(pages: Column) -> Column:
@@ -89,9 +91,9 @@ def officer_surnames(pages: Column) -> Column:
 
 def stable_surname(raw: Column) -> Column:
     """A grouping key for a chair: no line breaks, stray digits or titles, last word in lower case; NULL if nothing is left."""
-    text = strip(F.regexp_replace(F.regexp_replace(raw, "\n", " "), r"\b\d+\b", " "))
-    text = F.regexp_replace(text, r"(?i)^(hon\.?\s+)?(mrs?\.?\s+|ms\.?\s+|dr\.?\s+)?", "")
-    last = F.regexp_replace(F.lower(F.regexp_extract(strip(text), r"(\S+)$", 1)), r"^\.+|\.+$", "")
+    text = strip(F.regexp_replace(F.regexp_replace(raw, "\n", " "), STABLE_NUMBER, " "))
+    text = F.regexp_replace(text, STABLE_TITLE, "")
+    last = F.regexp_replace(F.lower(F.regexp_extract(strip(text), LAST_WORD, 1)), OUTER_DOTS, "")
     return F.nullif(last, F.lit(""))
 
 

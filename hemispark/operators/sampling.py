@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hemispark.session import broadcast_if_small
+
 
 def _draw(keys: list[str], seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *keys)
@@ -32,7 +34,8 @@ def split_by_hash(df: DataFrame, keys: list[str], share: float, seed: int = 42,
     cond = rows["_bin"] == counts["_bin"]
     if strata:
         cond = cond & rows[strata].eqNullSafe(counts[strata])
-    joined = rows.join(F.broadcast(counts), cond).select(rows["*"], counts["_c"], counts["_before"], counts["_want"])
+    counts, _ = broadcast_if_small(counts)  # strata x bins
+    joined = rows.join(counts, cond).select(rows["*"], counts["_c"], counts["_before"], counts["_want"])
     edge = (F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_c") > F.col("_want"))
     inner = joined.where(~edge).withColumn("held_out", F.col("_before") + F.col("_c") <= F.col("_want"))
     place = F.row_number().over(Window.partitionBy(*level, "_bin").orderBy("_h", *keys))

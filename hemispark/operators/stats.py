@@ -110,7 +110,31 @@ def granger(df: DataFrame, group: str, order: list[str], cause: str, effect: str
 def count_significant(p_values: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
     """(tests, raw, bonferroni): tests below alpha, and below alpha over their number."""
     n = p_values.agg(F.count(p).alias("_m"))
-    return p_values.crossJoin(F.broadcast(n)).agg(F.count(p).alias("tests"), F.coalesce(F.sum((F.col(p) < alpha).cast("int")), F.lit(0)).alias("raw"), F.coalesce(F.sum((F.col(p) < alpha / F.col("_m")).cast("int")), F.lit(0)).alias("bonferroni"))  # one row
+    below = lambda limit: F.coalesce(F.sum((F.col(p) < limit).cast("long")), F.lit(0).cast("long"))
+    return p_values.crossJoin(F.broadcast(n)).agg(F.count(p).alias("tests"), below(F.lit(alpha)).alias("raw"), below(alpha / F.col("_m")).alias("bonferroni"))  # one row
+
+
+def treatment_columns(df: DataFrame, terms: list[list[str]]) -> tuple[DataFrame, list[str]]:
+    """Add 0/1 columns of factors and their products, and name them; a factor's first level in the alphabet is the base.
+
+    Products that no row has are left out, as nothing tells their effect. NULL levels give NULL, so that models leave the row out.
+    ``terms`` are factors of some dozens of levels; levels and their combinations are all that reaches the driver.
+    """
+    factors = list(dict.fromkeys(f for t in terms for f in t))
+    seen = [tuple(r) for r in df.select(*factors).na.drop().distinct().collect()]  # combinations of levels
+    base = {f: min((x[i] for x in seen), default=None) for i, f in enumerate(factors)}
+    out, names = df, []
+    for t in terms:
+        at = [factors.index(f) for f in t]
+        for levels in sorted({tuple(x[i] for i in at) for x in seen}):
+            if any(v == base[f] for f, v in zip(t, levels)):
+                continue
+            name = ":".join(f"{f}[{v}]" for f, v in zip(t, levels))
+            value = F.lit(1.0)
+            for f, v in zip(t, levels):
+                value = value * (F.col(f) == v).cast("double")
+            out, names = out.withColumn(f"_t{len(names)}", value), [*names, name]
+    return out.withColumnsRenamed({f"_t{i}": n for i, n in enumerate(names)}), names
 
 
 def logit(df: DataFrame, target: str, features: list[str]) -> DataFrame:
@@ -118,8 +142,9 @@ def logit(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    rows = df.select(F.col(target).cast("double").alias("_y"), *(F.col(f).cast("double") for f in features)).na.drop()
-    data = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)
+    plain = [f"_f{i}" for i in range(len(features))]  # names may hold dots and brackets
+    rows = df.select(F.col(target).cast("double").alias("_y"), *(F.col(f"`{f}`").cast("double").alias(n) for f, n in zip(features, plain))).na.drop()
+    data = VectorAssembler(inputCols=plain, outputCol="_x").transform(rows)
     fit = GeneralizedLinearRegression(family="binomial", featuresCol="_x", labelCol="_y", maxIter=50).fit(data)
     s = fit.summary
     terms = zip([*features, "intercept"], [*fit.coefficients, fit.intercept], s.coefficientStandardErrors, s.pValues)
@@ -131,9 +156,10 @@ def random_intercept(df: DataFrame, target: str, features: list[str], group: str
 
     The groups' sums of products are all that leaves the executors; the last two terms are the variances (no tests).
     """
-    columns = ["_one", *features, target]
-    rows = df.where(F.col(group).isNotNull()).withColumn("_one", F.lit(1.0))
-    parts = products(rows, columns, [group]).collect()  # one row per group: chairs or topics
+    plain = [f"_f{i}" for i in range(len(features))]  # names may hold dots and brackets
+    rows = df.where(F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.lit(1.0).alias("_one"), *(F.col(f"`{f}`").alias(n) for f, n in zip(features, plain)), F.col(target).alias("_target"))
+    columns = ["_one", *plain, "_target"]
+    parts = products(rows, columns, ["_g"]).collect()  # one row per group: chairs or topics, whose sums are what the likelihood needs
     k, groups = len(columns) - 1, [(r.n, np.array(r.sums), _gram(r.cross, len(columns))) for r in parts]
     n = sum(g[0] for g in groups)
     schema = "term string, coefficient double, std_error double, p double"

@@ -70,6 +70,11 @@ def keyword_language(c: Column, detected: Column, words: list[str] = KREOL_WORDS
     )
 
 
+def collapse_labels(label: Column, kind: Column, policy: str = "Policy", none: str = "non_policy") -> Column:
+    """The label where its kind is ``policy``, else ``none``, also for a missing kind."""
+    return F.when(kind == policy, label).otherwise(F.lit(none))
+
+
 def top_terms(df: DataFrame, group: str, text: str, n: int = 10) -> DataFrame:
     """(group, place, token, weight): the terms with the largest class TF-IDF of each group; ties by token."""
     counts = df.select(group, F.explode(tokens(F.col(text), WORD)).alias("token")).groupBy(group, "token").agg(F.count(F.lit(1)).alias("n"))

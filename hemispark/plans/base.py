@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Each turn once, though its row may have been delivered twice."""
+    """Each turn once, though its row may have been delivered twice. Ask for few columns: they are shuffled."""
     chosen = columns or ("role", "language", "assembly", "speaker_raw", "sitting_date", "text", "is_stage_direction")
     return table(spark, sf_dir, "utterances").select(*KEY, *chosen).distinct()
 
@@ -53,7 +53,10 @@ def chairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tagged(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return rules.rule_tags(turns(spark, sf_dir, "role", "text", "is_stage_direction", *more))
+    """Turns with their tags and the columns asked for; the texts are read before the repeated rows go, and stay out of the shuffle unless asked for."""
+    chosen = dict.fromkeys(["role", "is_stage_direction", *more])
+    rows = table(spark, sf_dir, "utterances").select(*KEY, *dict.fromkeys([*chosen, "text"]))
+    return rules.rule_tags(rows).select(*KEY, *chosen, *rules.TAGS).distinct()
 
 
 # word boundary of Unicode text in RE2, which knows only ASCII's

@@ -13,12 +13,13 @@ from hemispark.plans.base import _STRIP, KEY, chairs, debates, query, table, tag
 
 @query("SELECT debate_id, seq_index, role FROM u WHERE NOT is_stage_direction")
 def dialogue_filter(spark: SparkSession, d: str) -> DataFrame:
-    return turns(spark, d).where(~F.col("is_stage_direction")).select(*KEY, "role")
+    return turns(spark, d, "role", "is_stage_direction").where(~F.col("is_stage_direction")).select(*KEY, "role")
 
 
 @query("SELECT debate_id, seq_index, length(text) AS n_chars FROM u WHERE NOT is_stage_direction AND length(text) >= 10")
 def min_length_filter(spark: SparkSession, d: str) -> DataFrame:
-    return turns(spark, d).where(~F.col("is_stage_direction") & (F.length("text") >= 10)).select(*KEY, F.length("text").cast("long").alias("n_chars"))
+    rows = table(spark, d, "utterances").where(~F.col("is_stage_direction") & (F.length("text") >= 10))
+    return rows.select(*KEY, F.length("text").cast("long").alias("n_chars")).distinct()
 
 
 @query("SELECT DISTINCT debate_id, seq_index, year FROM utterances WHERE year IN ('2016', '2018')")
@@ -34,7 +35,7 @@ def union_years(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT debate_id, seq_index, substring(text, 1, 300) AS head FROM u")
 def text_heads(spark: SparkSession, d: str) -> DataFrame:
-    return turns(spark, d).select(*KEY, F.substring("text", 1, 300).alias("head"))
+    return table(spark, d, "utterances").select(*KEY, F.substring("text", 1, 300).alias("head")).distinct()
 
 
 @query("SELECT debate_id, seq_index, chair_ruling::INT AS chair_ruling, interruption::INT AS interruption, withdrawal_request::INT AS withdrawal_request, so_citation::INT AS so_citation, pnq_transfer::INT AS pnq_transfer FROM tg")
@@ -64,7 +65,7 @@ def forward_event_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT role, count(*) AS n_utterances, sum(intervened::INT)::BIGINT AS n_intervened, round(sum(intervened::INT) / count(*), 9) AS intervention_rate FROM ev WHERE NOT is_stage_direction GROUP BY role HAVING count(*) >= 3")
 def intervention_panel(spark: SparkSession, d: str) -> DataFrame:
-    rows = tagged(spark, d).withColumn("any_event", F.col("chair_ruling") | F.col("interruption")).drop("text")
+    rows = tagged(spark, d).withColumn("any_event", F.col("chair_ruling") | F.col("interruption"))
     rows = windows.event_follows(rows, "any_event", ["debate_id"], ["seq_index"]).where(~F.col("is_stage_direction"))
     return panels.intervention_panel(rows, ["role"]).withColumn("intervention_rate", F.round("intervention_rate", 9))
 
@@ -86,7 +87,7 @@ def value_counts_with_null(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(DISTINCT debate_id) AS debates, count(DISTINCT speaker_raw) AS labels, count(DISTINCT role) AS roles FROM u")
 def distinct_counts(spark: SparkSession, d: str) -> DataFrame:
-    return turns(spark, d).agg(F.countDistinct("debate_id").alias("debates"), F.countDistinct("speaker_raw").alias("labels"), F.countDistinct("role").alias("roles"))
+    return turns(spark, d, "speaker_raw", "role").agg(F.countDistinct("debate_id").alias("debates"), F.countDistinct("speaker_raw").alias("labels"), F.countDistinct("role").alias("roles"))
 
 
 @query("SELECT topic, count(*) AS n, sum(so_citation::INT)::BIGINT AS n_true, round(avg(so_citation::INT), 9) AS rate FROM tg JOIN tp USING (debate_id, seq_index) GROUP BY topic")
@@ -135,7 +136,7 @@ def next_row_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT debate_id, seq_index, (debate_id IN (SELECT debate_id FROM u WHERE is_stage_direction AND text LIKE '%Withdrawn%')) AS has_withdrawal FROM u")
 def semi_join_flag(spark: SparkSession, d: str) -> DataFrame:
-    members = turns(spark, d).where(F.col("is_stage_direction") & F.contains("text", F.lit("Withdrawn")))
+    members = table(spark, d, "utterances").where(F.col("is_stage_direction") & F.contains("text", F.lit("Withdrawn")))
     return questions.flag_members(turns(spark, d, "role"), members, ["debate_id"], "has_withdrawal").select(*KEY, "has_withdrawal")
 
 
@@ -146,7 +147,7 @@ def first_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"SELECT DISTINCT debate_id, unnest(regexp_extract_all(text, 'B/(\d+)', 1)) AS pq_num FROM u WHERE regexp_matches(text, '(?i)with your permission')")
 def extract_all_explode(spark: SparkSession, d: str) -> DataFrame:
-    return questions.question_numbers(turns(spark, d), prefilter="(?i)with your permission")
+    return questions.question_numbers(table(spark, d, "utterances"), prefilter="(?i)with your permission")
 
 
 @query("SELECT debate_id, seq_index, " + _STRIP.format(r"lower(strip_accents(regexp_replace(speaker_raw, '\p{M}+', '', 'g')))") + " AS name_key FROM u WHERE speaker_raw IS NOT NULL")
@@ -246,7 +247,8 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, min(x) AS min, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.75) AS q75, max(x) AS max FROM (SELECT length(text)::DOUBLE AS x FROM u)")
 def describe_series(spark: SparkSession, d: str) -> DataFrame:
-    out = aggregates.describe(turns(spark, d, "text").select(F.length("text").cast("double").alias("x")), "x")
+    sizes = table(spark, d, "utterances").select(*KEY, F.length("text").cast("double").alias("x")).distinct()
+    out = aggregates.describe(sizes.select("x"), "x")
     return out.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
 
 
@@ -316,6 +318,6 @@ def sample_per_tag(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT topic, chair_surname, count(*) AS n_utterances FROM u JOIN tp USING (debate_id, seq_index) JOIN ch USING (debate_id) WHERE NOT is_stage_direction AND topic <> 'non_policy' AND chair_surname IS NOT NULL GROUP BY ALL HAVING count(*) >= 3")
 def panel_min_cell(spark: SparkSession, d: str) -> DataFrame:
-    rows = turns(spark, d).where(~F.col("is_stage_direction")).join(topics(spark, d), KEY).join(chairs(spark, d), "debate_id")
+    rows = turns(spark, d, "is_stage_direction").where(~F.col("is_stage_direction")).join(topics(spark, d), KEY).join(chairs(spark, d), "debate_id")
     rows = rows.where((F.col("topic") != panels.NO_TOPIC) & F.col("chair_surname").isNotNull())
     return rows.groupBy("topic", "chair_surname").agg(F.count(F.lit(1)).alias("n_utterances")).where("n_utterances >= 3")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hemispark.plans import basic, linking, modelling  # noqa: F401 - they register their queries
+from hemispark.plans import basic, front, linking, modelling  # noqa: F401 - they register their queries
 from hemispark.plans.base import ORACLES, QUERIES
 
 

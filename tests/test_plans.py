@@ -40,8 +40,10 @@ def test_query_is_its_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_other_queries_run(spark, name):
-    df = catalog.queries()[name](spark, SF)
-    assert df.columns and len(df.collect()) >= 0
+    # the smallest tables have fewer cells than the mixed model has terms
+    df = catalog.queries()[name](spark, SF.replace("0.001", "0.01") if name == "mixed_model" else SF)
+    rows = df.collect()
+    assert df.columns and rows and all(any(v is not None for v in r) for r in rows)
 
 
 def test_sizes_are_those_of_the_reference(spark):
