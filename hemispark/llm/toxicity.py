@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -331,7 +332,7 @@ class ExampleModel:
 
     def calibrated(self, vote: float) -> float:
         """Share of abusive documents among those with such a vote, by the held-out votes of the examples."""
-        at = np.searchsorted([v for v, _ in self.steps], vote, "right") - 1
+        at = bisect_right(self.steps, (vote, 1.0)) - 1
         return self.steps[at][1] if at >= 0 else 0.0
 
     def score_passage(self, passage: str, skip: frozenset[int] | set[int] = frozenset(), repeats: bool = True) -> tuple[float, list[tuple[int, float]]]:
