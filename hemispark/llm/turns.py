@@ -35,7 +35,7 @@ CHUNK = 400
 #: both only so that no row or task grows without bound (20,000 unlabelled turns, 16 MB of text).
 RUN_CHUNKS, PART = 50, 16_000_000
 #: By so much the logarithm of a profile must exceed the common one, for the root of the words, for a quotation.
-QUOTED = 4.0
+QUOTED = 8.0
 #: Weight of the common profile in each participant's, and of a transition never seen.
 COMMON, UNSEEN = 50.0, 0.1
 _READ = T.StructType(
@@ -244,7 +244,7 @@ def _solve_runs(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     columns = [c.split()[0] for c in _SOLVED_SCHEMA.split(", ")]
     model = None if pdf.empty else _chunk_model(known)
     if model is None:
-        return pd.DataFrame({c: [] for c in columns})
+        return _frame([], columns)
     found = []
     asked = pdf[pdf["_label"].isna()].sort_values(["_run_seq", "_run_sub", "_seq", "_sub"], na_position="first", kind="stable")
     for _, run in asked.groupby(["_run_seq", "_run_sub"], dropna=False, sort=False):
@@ -258,7 +258,12 @@ def _solve_runs(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     for d, q, u, label, text, before in pdf[pdf["_label"].notna()][["_debate", "_seq", "_sub", "_label", "_text", "_before"]].itertuples(index=False):
         speaker = told.get((q, u - 1), before)
         found.append((d, q, u, label, 1.0, isinstance(speaker, str) and speaker != label and profile_lead(text, speaker, model) > QUOTED))
-    return pd.DataFrame(found, columns=columns)
+    return _frame(found, columns)
+
+
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows as a frame whose columns have their types even without rows."""
+    return pd.DataFrame(rows, columns=columns).astype({c: kind for c, kind in zip(columns, ("object", "int64", "int32", "object", "float64", "bool"))})
 
 
 _SOLVED_SCHEMA = "_debate string, _seq long, _sub int, _inferred string, _share double, _quote boolean"

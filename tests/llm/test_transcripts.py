@@ -168,7 +168,7 @@ def test_posterior_by_enumeration():
 def test_a_quotation_is_no_turn(spark):
     spoken = {"Mr Oak": "taxes budget deficit revenue treasury", **{f"Ms {c.upper()}ir": " ".join(c + w for w in ("ospital", "urses", "ards", "octors", "linics")) for c in "bcdfghjkl"}}
     rows = [("d", i, name, spoken[name] + ".", False) for i in range(300) for name in [list(spoken)[i % 10]]]
-    rows += [("d", 300, "Mr Oak", "I say this. – Mr Elm: taxes budget deficit revenue treasury taxes budget deficit revenue treasury.", False), ("d", 301, "Ms Fir", "no. – Mr Yew: never heard anywhere before.", False)]
+    rows += [("d", 300, "Mr Oak", "I say this. – Mr Elm: " + " ".join([spoken["Mr Oak"]] * 6) + ".", False), ("d", 301, "Ms Fir", "no. – Mr Yew: never heard anywhere before.", False)]
     df = spark.createDataFrame(rows, "debate_id string, seq_index long, speaker_raw string, text string, is_stage_direction boolean")
     got = {(r.seq_index, r.noise) for r in turns.transcript_noise(df, ["debate_id", "seq_index"], "speaker_raw", "text", "is_stage_direction").collect()}
     assert got == {(301, "inline")}
