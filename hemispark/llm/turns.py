@@ -8,29 +8,39 @@
    nowhere else is held against the profile of the speaker before it: if the words are clearly the speaker's, it is a quotation.
 3. Consecutive turns of one speaker are merged.
 
-A debate may hold a third of all rows. Profiles and transitions are counted over the whole debate by (word, label) and
-(label, label). A given label fixes the chain's state, so the path between two given labels depends on nothing else: each run of
-missing labels is solved by itself, exactly, wherever it lies. Steps 2 and 3 look for the neighbours of a run and the start of
-a turn within ``CHUNK`` sequence numbers and carry what is open from chunk to chunk.
+A given label fixes the chain's state, so the path between two given labels depends on nothing else: each run of
+missing labels is solved by itself, exactly, wherever it lies. A debate of up to ``WHOLE`` turns is read by one task: its turns are
+shuffled once, as compressed blocks. A larger one may hold a third of all rows: its profiles and transitions are counted by (word, label)
+and (label, label), and step 2 looks for the neighbours of a run within ``CHUNK`` sequence numbers, as step 3 does for the start of
+a turn, and carries what is open from chunk to chunk. Both ways give the same.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hemispark.llm.annotations import read_row, strip_label
-from hemispark.session import broadcast_if_small, checkpoint, salted_join
+from hemispark.session import broadcast_if_small, checkpoint, packed_checkpoint, salted_join
 
 CHUNK = 400
+#: Turns and characters up to which a debate is read by one task.
+WHOLE, WHOLE_TEXT = 20_000, 50_000_000
+#: Characters after which a task gives on the blocks of turns that it holds.
+BLOCKS = 8_000_000
 #: Chunks without any given label after which a run is solved in pieces, and characters after which a merged turn is given in parts:
 #: both only so that no row or task grows without bound (20,000 unlabelled turns, 16 MB of text).
 RUN_CHUNKS, PART = 50, 16_000_000
@@ -73,11 +83,10 @@ def transcript_noise(df: DataFrame, keys: list[str], speaker: str, text: str, fl
     """
     debate, order = keys
     rows = df.select(*keys, speaker, text, flag)
-    turns = speaker_turns(rows, debate, order, speaker, text, flag)
-    first = turns.where("_sub = 0").select("_debate", "_seq", "_noises")
-    asked = turns.where("_sub > 0").groupBy("_debate", "_seq").agg(F.min("_quoted").alias("_all_quoted"))
-    asked, _ = broadcast_if_small(asked.where("_all_quoted").select("_debate", "_seq", "_all_quoted"))
-    first = first.join(asked, ["_debate", "_seq"], "left").withColumn("_noises", F.when(F.col("_all_quoted"), F.array_remove("_noises", "inline")).otherwise(F.col("_noises")))
+    turns, solved = _solved_turns(rows, debate, order, speaker, text, flag)
+    quotes, _ = broadcast_if_small(solved.where("_quote").groupBy("_debate", "_seq").agg(F.count(F.lit(1)).alias("_quotes")))
+    first = turns.where((F.col("_sub") == 0) & (F.size("_noises") > 0)).select("_debate", "_seq", "_noises", "_further").join(quotes, ["_debate", "_seq"], "left")
+    first = first.withColumn("_noises", F.when(F.col("_quotes") == F.col("_further"), F.array_remove("_noises", "inline")).otherwise(F.col("_noises")))
     first = first.select(F.col("_debate").cast(df.schema[debate].dataType).alias(debate), F.col("_seq").cast(df.schema[order].dataType).alias(order), F.explode("_noises").alias("noise"))
     alone = read_rows(rows.where(F.col(debate).isNull() | F.col(order).isNull()), speaker, text, flag)
     return first.unionByName(alone.select(*keys, F.explode("_read.noises").alias("noise"))).distinct()
@@ -316,9 +325,93 @@ def debate_models(turns: DataFrame, chunks: DataFrame) -> DataFrame:
     return whole.unionByName(words, allowMissingColumns=True)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed blocks (_debate, _block) of the turns (_debate, _seq, _sub, _label, _text)."""
+    held: dict[str, list[tuple]] = defaultdict(list)
+    size = 0
+
+    def given() -> pa.RecordBatch:
+        blocks = [zlib.compress(json.dumps(list(zip(*turns)), ensure_ascii=False).encode()) for turns in held.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(blocks, pa.binary())], ["_debate", "_block"])
+
+    for batch in batches:
+        for d, *turn in zip(*(batch.column(c).to_pylist() for c in ("_debate", "_seq", "_sub", "_label", "_text"))):
+            held[d].append(turn)
+            size += len(turn[-1])
+            if size > BLOCKS:
+                yield given()
+                held.clear()
+                size = 0
+    if held:
+        yield given()
+
+
+def solve_debate(turns: list[tuple[int, int, str | None, str]]) -> list[tuple[int, int, str, float, bool]]:
+    """(seq, sub, label, share, quotation) of the missing labels and the doubtful further turns of a whole debate of (seq, sub, label, text)."""
+    turns = sorted(turns, key=lambda t: t[:2])
+    labels, texts = [t[2] for t in turns], [t[3] for t in turns]
+    own = {label for _, sub, label, _ in turns if sub == 0}
+    doubtful = [i for i, (_, sub, label, _) in enumerate(turns) if label is not None and sub > 0 and label not in own]
+    if not doubtful and None not in labels or not any(x is not None for x in labels):
+        return []
+    model = learn(labels, texts)
+    told: dict[tuple[int, int], str] = {}
+    before: list[str | None] = []  # the last given label before each turn
+    for label in labels:
+        before.append(last if before else None)
+        last = label if label is not None else before[-1]
+    found, at = [], 0
+    for missing, run in groupby(labels, lambda x: x is None):
+        begin, at = at, at + len(list(run))
+        if missing:
+            a, b = max(0, begin - 1), min(len(turns), at + 1)
+            names, sure = infer_labels(labels[a:b], texts[a:b], model)
+            for i in range(begin, at):
+                told[turns[i][:2]] = names[i - a]
+                found.append((*turns[i][:2], names[i - a], sure[i - a], False))
+    for i in doubtful:
+        seq, sub, label, text = turns[i]
+        speaker = told.get((seq, sub - 1), before[i])
+        found.append((seq, sub, label, 1.0, speaker is not None and speaker != label and profile_lead(text, speaker, model) > QUOTED))
+    return found
+
+
+def _solve_debates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What :func:`solve_debate` finds in the debates whose blocks follow each other."""
+    types = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.bool_()]
+    names = [c.split()[0] for c in _SOLVED_SCHEMA.split(", ")]
+    blocks = (pair for batch in batches for pair in zip(batch.column("_debate").to_pylist(), batch.column("_block").to_pylist()))
+    for debate, own in groupby(blocks, lambda x: x[0]):
+        turns = [tuple(t) for _, block in own for t in zip(*json.loads(zlib.decompress(block)))]
+        if found := [(debate, *x) for x in solve_debate(turns)]:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*found), types)], names)
+
+
+def _solve_whole(speech: DataFrame) -> DataFrame:
+    """Rows of ``_SOLVED_SCHEMA`` of debates that one task can hold."""
+    blocks = speech.select("_debate", "_seq", "_sub", "_label", "_text").mapInArrow(_blocks, "_debate string, _block binary")
+    return blocks.repartition("_debate").sortWithinPartitions("_debate").mapInArrow(_solve_debates, _SOLVED_SCHEMA)
+
+
+def _solve_long(speech: DataFrame) -> DataFrame:
+    """Rows of ``_SOLVED_SCHEMA`` of debates of any size, chunk by chunk."""
+    speech = speech.withColumn("_home", F.floor(F.col("_seq") / CHUNK).cast("long"))
+    # labels that only stand inside texts are doubtful
+    own = speech.groupBy("_debate", "_label").agg(F.max((F.col("_sub") == 0).cast("int")).alias("_own")).where("_own = 0 AND _label IS NOT NULL").select("_debate", "_label", F.lit(True).alias("_doubt"))
+    # of the other turns no text is asked for
+    narrow = speech.withColumn("_text", F.when(F.col("_label").isNull() | (F.col("_sub") > 0), F.col("_text")))
+    placed = salted_join(_neighbours(narrow), own, ["_debate", "_label"], "left")
+    asked = placed.where(F.col("_label").isNull() | (F.col("_doubt") & (F.col("_sub") > 0))).drop("_doubt")
+    begun = F.coalesce(F.floor(F.col("_run_seq") / CHUNK), F.lit(-1)).cast("long")
+    asked = asked.withColumn("_chunk", begun * 1_000_000 + F.floor((F.col("_home") - begun) / RUN_CHUNKS).cast("long"))
+    asked = packed_checkpoint(asked.drop("_home"))
+    models = debate_models(speech, asked).withColumnsRenamed({"_debate": "_of", "_chunk": "_at"})
+    return asked.groupBy("_debate", "_chunk").cogroup(models.groupBy("_of", "_at")).applyInPandas(_solve_runs, _SOLVED_SCHEMA)
+
+
 def _once(rows: DataFrame) -> DataFrame:
     """Each (_debate, _seq) once, by text and label; only the few keys that came twice are grouped with their texts."""
-    twice = rows.groupBy("_debate", "_seq").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_debate", "_seq")
+    twice = checkpoint(rows.groupBy("_debate", "_seq").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_debate", "_seq"))
     twice, _ = broadcast_if_small(twice)
     several = rows.join(twice, ["_debate", "_seq"], "left_semi").groupBy("_debate", "_seq").agg(F.min_by(F.struct("_s", "_t", "_f"), F.struct(F.coalesce("_t", F.lit("")), F.coalesce("_s", F.lit("")))).alias("r"))
     return rows.join(twice, ["_debate", "_seq"], "left_anti").unionByName(several.select("_debate", "_seq", "r.*"))
@@ -339,27 +432,31 @@ def _neighbours(speech: DataFrame) -> DataFrame:
     return rows.select("_debate", "_seq", "_sub", "_stage", "_label", "_text", "_home", F.col("_b._label").alias("_before"), F.col("_b._seq").alias("_run_seq"), F.col("_b._sub").alias("_run_sub"), F.col("_a._label").alias("_after"))
 
 
+def _solved_turns(df: DataFrame, debate: str, order: str, speaker: str, text: str, flag: str) -> tuple[DataFrame, DataFrame]:
+    """Every turn of every row (with ``_further``, the further turns of its row), and rows of ``_SOLVED_SCHEMA``."""
+    rows = df.select(F.col(debate).cast("string").alias("_debate"), F.col(order).cast("long").alias("_seq"), F.col(speaker).alias("_s"), F.col(text).alias("_t"), F.col(flag).alias("_f"))
+    rows = _once(rows.where(F.col("_debate").isNotNull() & F.col("_seq").isNotNull()))
+    rows = read_rows(rows, "_s", "_t", "_f")
+    turns = rows.select("_debate", "_seq", F.col("_read.stage").alias("_stage"), F.col("_read.noises").alias("_noises"), (F.size("_read.turns") - 1).alias("_further"), F.posexplode("_read.turns").alias("_sub", "turn"))
+    turns = packed_checkpoint(turns.select("_debate", "_seq", "_sub", "_stage", F.col("turn.label").alias("_label"), F.col("turn.text").alias("_text"), "_noises", "_further"))
+    speech = turns.where(~F.col("_stage") & (F.col("_text") != "")).drop("_noises", "_further")
+    sizes = speech.groupBy("_debate").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("_text")).alias("_length"))
+    long = checkpoint(sizes.where((F.col("_n") > WHOLE) | (F.col("_length") > WHOLE_TEXT)).select("_debate"))
+    if long.limit(1).count():
+        long, _ = broadcast_if_small(long)
+        solved = _solve_whole(speech.join(long, "_debate", "left_anti")).unionByName(_solve_long(speech.join(long, "_debate", "left_semi")))
+    else:
+        solved = _solve_whole(speech)
+    return turns, packed_checkpoint(solved)
+
+
 def speaker_turns(df: DataFrame, debate: str = "debate_id", order: str = "seq_index", speaker: str = "speaker_raw", text: str = "text", flag: str = "is_stage_direction") -> DataFrame:
     """(_debate, _seq, _sub, _stage, _text, _noises, _speaker, _given, _confidence, _quoted): every turn of every row, with the speaker model's labels.
 
     ``_sub`` numbers the turns inside a row, ``_noises`` are those of the row, ``_quoted`` says that a further turn is a quotation.
     Rows without a debate or number are left out; of redelivered rows (same key) one is used, by text and label.
     """
-    rows = df.select(F.col(debate).cast("string").alias("_debate"), F.col(order).cast("long").alias("_seq"), F.col(speaker).alias("_s"), F.col(text).alias("_t"), F.col(flag).alias("_f"))
-    rows = _once(rows.where(F.col("_debate").isNotNull() & F.col("_seq").isNotNull()))
-    rows = read_rows(rows, "_s", "_t", "_f")
-    turns = rows.select("_debate", "_seq", F.col("_read.stage").alias("_stage"), F.col("_read.noises").alias("_noises"), F.posexplode("_read.turns").alias("_sub", "turn"))
-    turns = checkpoint(turns.select("_debate", "_seq", "_sub", "_stage", F.col("turn.label").alias("_label"), F.col("turn.text").alias("_text"), "_noises"))
-    speech = turns.where(~F.col("_stage") & (F.col("_text") != "")).withColumn("_home", F.floor(F.col("_seq") / CHUNK).cast("long")).drop("_noises")
-    # labels that only stand inside texts are doubtful
-    own = speech.groupBy("_debate", "_label").agg(F.max((F.col("_sub") == 0).cast("int")).alias("_own")).where("_own = 0 AND _label IS NOT NULL").select("_debate", "_label", F.lit(True).alias("_doubt"))
-    placed = salted_join(_neighbours(speech), own, ["_debate", "_label"], "left")
-    asked = placed.where(F.col("_label").isNull() | (F.col("_doubt") & (F.col("_sub") > 0))).drop("_doubt")
-    begun = F.coalesce(F.floor(F.col("_run_seq") / CHUNK), F.lit(-1)).cast("long")
-    asked = asked.withColumn("_chunk", begun * 1_000_000 + F.floor((F.col("_home") - begun) / RUN_CHUNKS).cast("long"))
-    asked = checkpoint(asked.drop("_home"))
-    models = debate_models(speech, asked).withColumnsRenamed({"_debate": "_of", "_chunk": "_at"})
-    solved = checkpoint(asked.groupBy("_debate", "_chunk").cogroup(models.groupBy("_of", "_at")).applyInPandas(_solve_runs, _SOLVED_SCHEMA))
+    turns, solved = _solved_turns(df, debate, order, speaker, text, flag)
     solved, _ = broadcast_if_small(solved)
     told = turns.join(solved, ["_debate", "_seq", "_sub"], "left")
     return told.select(

@@ -5,8 +5,10 @@ from __future__ import annotations
 import importlib.util
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed_checkpoint(df: DataFrame) -> DataFrame:
+    """As :func:`checkpoint`, for rows with texts: each Arrow batch is written as one compressed block.
+
+    Spark compresses checkpointed rows in small frames; in blocks by column texts take about a third of that.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0):
+                yield from pa.ipc.open_stream(block.as_buffer())
+
+    return checkpoint(df.mapInArrow(pack, "block binary")).mapInArrow(unpack, df.schema)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Mark ``df`` for broadcasting if it proves to have at most ``rows`` rows.
 

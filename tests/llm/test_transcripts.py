@@ -1,13 +1,16 @@
 import itertools
 import math
 import random
+import tempfile
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
 from hemispark.llm import annotations as an
 from hemispark.llm import furniture as fu
 from hemispark.llm import scans, turns
+from hemispark.session import checkpoint, packed_checkpoint
 
 NOISE = [
     ("Mr X", "(00:12:33.10) I rise.", False, {"timestamp"}), ("Mr X", "We met at 2.30 p.m. on Monday; the ratio stood at 3:2.", False, set()), ("Mr X", "I (erm) rise, um, now", False, {"filler"}),
@@ -249,3 +252,52 @@ def test_models_of_debates_are_those_of_all_turns(spark):
         assert got.names == want.names and list(got.known) == list(want.known) and list(got.mass) == list(want.mass) and got.size == want.size
         assert {tuple(map(int, x)) for x in zip(*got.moves)} == {tuple(map(int, x)) for x in zip(*want.moves)}
         assert {w: (n, dict(zip(i, k))) for w, (n, i, k) in got.words.items()} == {w: (n, dict(zip(i, k))) for w, (n, i, k) in want.words.items()}
+
+
+def test_debates_of_one_task_shuffle_no_word_counts(spark, monkeypatch):
+    rng = random.Random(8)
+    rows, words = [], {w: [w + x for x in "abcdefgh"] for w in "kmp"}
+    for d, n in (("a", 90), ("b", 20), ("c", 45), ("z", 3)):
+        for seq in range(n):
+            who = rng.choice("kmp")
+            text = " ".join(rng.choices(words[who], k=20)) + "."
+            text += rng.choice(["", "", "\nMr Zed: " + " ".join(rng.choices(words[who], k=150)) + "."])
+            rows.append((d, seq, None if d == "z" or rng.random() < 0.4 else f"Mr {who.upper()}a", text, False))
+    df = spark.createDataFrame(rows, "debate_id string, seq_index long, speaker_raw string, text string, is_stage_direction boolean")
+    keys = ["debate_id", "seq_index"]
+
+    def results():
+        told = sorted(map(tuple, turns.speaker_turns(df).select("_debate", "_seq", "_sub", "_speaker", "_given", "_confidence", "_quoted").collect()))
+        return told, sorted(map(tuple, turns.transcript_noise(df, keys, "speaker_raw", "text", "is_stage_direction").collect()))
+
+    monkeypatch.setattr(turns, "CHUNK", 16)
+    counted = turns.debate_models
+    with monkeypatch.context() as m:
+        m.setattr(turns, "debate_models", None)
+        whole = results()
+    assert any(r[6] for r in whole[0]) and any(r[5] < 1 for r in whole[0])
+    asked = []
+    monkeypatch.setattr(turns, "debate_models", lambda *a: asked.append(1) or counted(*a))
+    monkeypatch.setattr(turns, "WHOLE", 30)  # a and c go by chunks
+    mixed = results()
+    assert asked and [r[:5] + r[6:] for r in mixed[0]] == [r[:5] + r[6:] for r in whole[0]] and mixed[1] == whole[1]
+    assert [r[5] for r in mixed[0]] == pytest.approx([r[5] for r in whole[0]])
+
+
+def test_packed_checkpoint_keeps_rows_in_less_space(spark):
+    words = [f"{a}{b}" for a in ("budget", "nurse", "road", "school", "cane", "port") for b in ("", "s", "less", "ward")]
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(words, k=40)), [str(i), "x"], None if i % 3 else True) for i in range(3000)]
+    df = spark.createDataFrame(rows, "n long, t string, l array<string>, f boolean")
+
+    def kept(write):
+        got = write(df)
+        return got, sum(p.stat().st_size for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*"))
+
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hemispark-"))
+    plain, size = kept(checkpoint)
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hemispark-"))
+    packed, packed_size = kept(packed_checkpoint)
+    assert 0 < packed_size < size * 0.6
+    assert sorted(map(tuple, packed.collect())) == rows == sorted(map(tuple, plain.collect()))
+    assert packed.schema == df.schema and packed_checkpoint(df.limit(0)).count() == 0
