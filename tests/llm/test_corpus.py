@@ -7,6 +7,7 @@ from hemispark.llm import leakage as le
 from hemispark.llm import mixing as mi
 from hemispark.llm import subjects as su
 from hemispark.llm import toxicity as to
+from hemispark.llm.furniture import MappedReader
 
 WORDS = ["harp", "salt", "clock", "ferry", "mint", "judge", "cooper", "lamp", "wager", "frost", "quarrel", "notary", "widow", "porter", "ledger", "thimble", "barrel", "comb", "chart", "surveyor"]
 
@@ -184,6 +185,31 @@ def test_subject_operator(spark):
     assert su.subject_areas(df.limit(0), ["debate_id", "seq_index"], "text").count() == 0
 
 
+def test_subjects_learn_from_all_labelled_rows(spark):
+    rng = random.Random(12)
+    names = ["alpha", "bravo", "carol", "delta", "echos", "fungi", "gamma", "hotel"]
+    rows = [(f"the zorble of {rng.choice(names)} ran dry {i}. it was noted.", "health") for i in range(60)] + [(f"a level court of opinion met {rng.choice(names)}. it was noted.", "non_policy") for i in range(60)]
+    rows += [(f"we {rng.choice(names)} saw the {rng.choice(names)} plan. it was noted.", rng.choice(["law", "sport", "finance"])) for _ in range(200)]
+    df = spark.createDataFrame([(t, None, x) for t, x in rows], "_clean string, _fixes array<string>, _label string").repartition(5)
+    none = spark.sparkContext.broadcast(MappedReader({}))
+    assert su.learned_terms(df, none) == su.learn_terms(rows) != []
+    # a phrase of few among many rows with its label, which a sample of 1,000 rows a label mostly misses
+    common = [("d", i, f"we went on with item {i}.", "non_policy") for i in range(9000)] + [("d", 20_000 + i, f"nurses met {names[i % 8]}.", "health") for i in range(6000)]
+    rare = [("d", 10_000 + i, f"the zorble of place {names[i % 8]} ran dry.", "health") for i in range(32)]
+    texts = spark.createDataFrame(common + rare, "debate_id string, seq_index long, text string, predicted_label string")
+    found = su.subject_areas(texts.drop("predicted_label"), ["debate_id", "seq_index"], "text", texts.drop("text"))
+    assert {(r.seq_index, r.subject) for r in found.where("seq_index between 10000 and 10031").collect()} == {(10_000 + i, "health") for i in range(32)}
+
+
+def test_thresholds_of_all_labelled_rows(spark):
+    rng = random.Random(13)
+    machine = su.automaton()
+    pool = [su.sentence_hits(t) for t, _ in OTHER_TEXTS] + [su.sentence_hits("The bill and the ball, the school and the road; the budget, nurses and a judge met the fishermen on this point of order once more today.")]
+    rows = [(i, rng.choice(pool) + rng.choice(pool), rng.choice(su.LABELS)) for i in range(400)]
+    df = spark.createDataFrame([("d", i, h, x) for i, h, x in rows + rows[:50]] + [("d", 900, pool[0], None)], "d string, i long, _hits array<struct<terms:array<int>,words:int>>, _label string")
+    assert su.calibrated(df, ["d", "i"], {}, su._sent(df, machine)) == su.calibrate([(h, x) for _, h, x in rows], {}, machine)
+
+
 INSULTS = ["You are a pathetic {} and everyone knows it!", "Shut your filthy mouth, you {}!", "Someone ought to strangle that {} with his own tie."]
 PLAIN = ["The committee found {} errors in the accounts.", "There were {} complaints concerning the road.", "I table a petition of {} signatures.", "Rats and cockroaches were found in the kitchen of depot {}.", "Let us proceed with item {} on the paper.", "We met the delegation on day {} and agreed to talk."]
 
